@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,8 +77,27 @@ def even_join(big: DataFrame, lookup: DataFrame, keys: list[str], n: str, total:
     return big.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys))
 
 
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow, with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._shared import map_arrow
 from tessera.llm._words import Words, hash_strings, mix, ragged, slices, text_column
 
 MIN_WORDS = 5
@@ -280,7 +281,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, word_start long, n_words int, edits int"
     out = docs.sparkSession.createDataFrame([], schema)
     for n, items in enumerate(blocks(benchmark, block)):
-        found = rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(items)), schema)
+        found = map_arrow(rows, _finder(docs.sparkSession.sparkContext.broadcast(items)), schema)
         out = found if n == 0 else out.unionByName(found)
     return out
 
@@ -320,5 +321,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block:
                     good[[f[0] for f in shared.value.search(text_column(part, text_col))]] = False
                     yield part.filter(pa.array(good))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs

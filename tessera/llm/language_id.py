@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._fit import fold, letter_grams, sample_ids, sample_rows
+from tessera.llm._shared import map_arrow
 from tessera.llm._words import Words, segment_sum, slices, text_column
 
 BUCKETS = 1 << 15
@@ -161,7 +162,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return map_arrow(rows, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, **train_args) -> DataFrame:
@@ -179,4 +180,4 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5, **train_args) -> Da
                 good = (n > 0) & (_softmax(logits).max(axis=1) >= min_score)
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

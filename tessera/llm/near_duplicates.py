@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import Workspace, even_join
+from tessera.llm._shared import Workspace, even_join, map_arrow
 from tessera.llm._words import Words, mix, segment_sum, slices, text_column
 from tessera.llm.components import components
 
@@ -129,7 +129,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     }
                 )
 
-    return docs.mapInArrow(run, "_id long, _t long, _s1 long, _s2 long, _n long, _sig binary")
+    return map_arrow(docs, run, "_id long, _t long, _s1 long, _s2 long, _n long, _sig binary")
 
 
 def prune(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -331,7 +331,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         reps.select("_id", "_s1", "_sig"), ["_id", "_s1"]
     )
     members = _split(members, "_blocks", "_key", "_id").select("_g", "_i", "_j", "_b", "_band", "_id", "_sig")
-    edges = _by_group(members).mapInArrow(_candidate_edges, "u long, v long")
+    edges = map_arrow(_by_group(members), _candidate_edges, "u long, v long")
     groups = ws.save(components(ws, edges), "groups")
 
     found = reps.join(groups.withColumnRenamed("node", "_id"), "_id").select("_id", "_t", "_n", "_copies", "_sig", "root")
@@ -342,7 +342,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = ws.save(even_join(found, sizes, ["root"], "_texts", groups.count()), "found")
     split = _split(rows.join(found, ["_id", "_t"]), "_blocks", "root", "_id")
     split = split.select("_g", "_i", "_j", "_b", "_id", "_t", "_copies", "_sig", "text")
-    links = ws.save(_by_group(split).mapInArrow(_verified_links, "u long, v long, links long"), "links")
+    links = ws.save(map_arrow(_by_group(split), _verified_links, "u long, v long, links long"), "links")
     classes = components(ws, links.select("u", "v"))
     by_node = links.groupBy(F.col("u").alias("_rep")).agg(F.sum("links").alias("_links"))
     by_node = by_node.join(classes.select(F.col("node").alias("_rep"), F.col("root").alias("_class")), "_rep", "left")

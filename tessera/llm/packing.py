@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._shared import map_arrow
+
 WINDOW = 1024
 #: Windows that one partition may number.
 PER_PARTITION = 1 << 36
@@ -165,4 +167,4 @@ def pack(
         if packer.rows:
             yield batch_of(packer.rows)
 
-    return rows.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return map_arrow(rows, run, SCHEMA + (", ids array<int>" if with_ids else ""))

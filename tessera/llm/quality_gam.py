@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._fit import fold, sample_ids, sigmoid
+from tessera.llm._shared import map_arrow
 from tessera.llm._words import Words, hash_strings, raw, segment_sum, slices, strings, text_column
 
 FOLDS, HELD_OUT = 3, 1
@@ -242,7 +243,7 @@ def measure(docs: DataFrame, columns: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(out)
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInArrow(run, f"{kinds}, x array<double>")
+    return map_arrow(rows, run, f"{kinds}, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -276,4 +277,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_arrow(rows, run, f"doc_id {kind}, held_out boolean, score double, predicted int")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm._shared import Workspace
+from tessera.llm._shared import Workspace, map_arrow
 
 MAGIC = b"TSRZSTD1"
 HEADER = struct.Struct(">8s32sqqqq")
@@ -161,8 +161,7 @@ class TokenStore:
                         }
                     )
 
-        rows = files.mapInArrow(
-            read, "doc_id long, _range long, _part long, _start long, n_tokens long, ids_crc32 long"
+        rows = map_arrow(files, read, "doc_id long, _range long, _part long, _start long, n_tokens long, ids_crc32 long"
         )
         return rows.join(heads, ["_range", "_part"]).select(
             "doc_id", (F.col("_before") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32"
@@ -220,7 +219,7 @@ def write(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
     files = files.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    _save_files(files.mapInArrow(build, "file binary"), f"{root}/files")
+    _save_files(map_arrow(files, build, "file binary"), f"{root}/files")
     return TokenStore(spark, root)
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._fit import fold, sample_ids, sample_rows, sigmoid, symbol_grams
+from tessera.llm._shared import map_arrow
 from tessera.llm._words import Words, ragged, segment_sum, slices, text_column
 
 BUCKETS = 1 << 17
@@ -199,4 +200,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_arrow(rows, run, f"doc_id {kind}, held_out boolean, score double, predicted int")
