@@ -15,7 +15,7 @@ import pyarrow as pa
 from tessera.llm._words import ragged, raw, strings
 
 #: Units kept from earlier texts.  Two generations of this many bound the memory.
-CACHE_UNITS = 150_000
+CACHE_UNITS = 300_000
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
