@@ -121,29 +121,33 @@ def dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """All columns of docs with the text's remaining lines, n_lines (before) and n_dropped."""
+    """All columns of docs with the text's remaining lines, n_lines (before) and n_dropped (these two
+    replace columns of their names)."""
     ws = Workspace(docs.sparkSession, "lines")
     gone = dropped_lines(docs, min_docs, min_chars, batches, id_col, text_col, ws)
     t1, t2 = _key_hash(_text(text_col))
-    keys = ["_id", "_t1", "_t2"]
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_t1": t1, "_t2": t2})
+    # Names that a column of docs won't have.
+    own = {"_id": "_tsr_id", "_t1": "_tsr_t1", "_t2": "_tsr_t2"}
+    rows = docs.withColumns(
+        {"_tsr_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tsr_t1": t1, "_tsr_t2": t2}
+    )
+    gone = gone.withColumnsRenamed(own | {"_gone": "_tsr_gone"})
     # The few texts that lose lines are the build side; whole texts are moved once and never sorted.
-    rows = rows.join(gone.hint("shuffle_hash"), keys, "left")
-    lines = F.split(_text(text_col), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i + 1)), "\n")
+    rows = rows.join(gone.hint("shuffle_hash"), list(own.values()), "left")
+    rows = rows.withColumn("_tsr_lines", F.split(_text(text_col), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_tsr_lines") - 1), F.col("_tsr_gone"))
+    none = F.col("_tsr_gone").isNull()
+    text = F.when(none, F.col(text_col)).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.element_at("_tsr_lines", i + 1)), "\n")
     )
-    rows = rows.withColumn("_lines", lines).withColumns(
+    rows = rows.withColumns(
         {
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+            "n_lines": F.size("_tsr_lines").cast("long"),
+            "n_dropped": F.when(none, F.lit(0)).otherwise(F.size("_tsr_gone")).cast("long"),
             text_col: text,
         }
     )
-    # size(null) is -1 or null by a session's setting
-    rows = rows.withColumn("n_dropped", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"))
-    return rows.drop("_lines", "_gone", *keys)
+    return rows.select(*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
 
 
 def keep_new(runs: LineRuns, batch: DataFrame, min_docs: int, min_chars: int = 40) -> DataFrame:

@@ -374,7 +374,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs without the rows whose class has a smaller doc_id; of rows of one doc_id one stays."""
     ws = Workspace(docs.sparkSession, "keep")
     classes = ws.save(join(docs, id_col, text_col), "classes")
-    losers = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_loser")).distinct()
-    kept = docs.join(losers, F.col(id_col).eqNullSafe(F.col("_loser")), "left_anti")
+    losers = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_tsr_loser")).distinct()
+    kept = docs.join(losers, F.col(id_col).eqNullSafe(F.col("_tsr_loser")), "left_anti")
     repeated = classes.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     return kept.dropDuplicates([id_col]) if repeated else kept
