@@ -165,8 +165,12 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return map_arrow(rows, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5, **train_args) -> DataFrame:
-    """Rows of docs whose language is identified with at least ``min_score``; all columns stay."""
+def keep_identified(docs: DataFrame, min_score: float = 0.3, **train_args) -> DataFrame:
+    """Rows of docs whose language is identified with at least ``min_score``; all columns stay.
+
+    The default rejects texts without a letter and near-ties of all languages, but no text that is
+    mostly of one language and holds a passage of another.
+    """
     model = train(docs, **train_args)
     schema = docs.schema
     if model is None:
