@@ -24,7 +24,7 @@ def fold(id_col: str, of: int) -> Column:
 def sample_ids(labelled: DataFrame, per_label: int | Column) -> DataFrame:
     """Of (doc_id, label), the ``per_label`` rows of each label with the smallest hash of doc_id.
 
-    Spark limits each group before the shuffle, so a hot label moves few rows.
+    With a plain number Spark limits each group in every task before the shuffle.
     """
     order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(29), F.col("doc_id")), "doc_id")
     return labelled.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_label).drop("_n")
