@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm._words import mix
 
@@ -21,13 +21,28 @@ def fold(id_col: str, of: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % of, F.lit(0)).cast("int")
 
 
-def sample_ids(labelled: DataFrame, per_label: int | Column) -> DataFrame:
-    """Of (doc_id, label), the ``per_label`` rows of each label with the smallest hash of doc_id.
+def sample_ids(labelled: DataFrame, per_label: Callable[[object], int]) -> DataFrame:
+    """Of (doc_id, label), the ``per_label(label)`` ids of each label with the smallest hash, each id once.
 
-    With a plain number Spark limits each group in every task before the shuffle.
+    Labels are classes, so few.  Their ids are counted by sketches; the count gives a hash below
+    which there are a few more ids than needed, and only those, a number that doesn't grow with the
+    table, are gathered and ranked.  An id with several labels keeps the smallest of those gathered.
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(29), F.col("doc_id")), "doc_id")
-    return labelled.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_label).drop("_n")
+    spark = labelled.sparkSession
+    sizes = labelled.groupBy("label").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).collect()
+    wanted = {r["label"]: per_label(r["label"]) for r in sizes}
+    limits = []
+    for label, n in sizes:
+        share = (1.15 * wanted[label] + 8 * wanted[label] ** 0.5 + 40) / max(n, 1)
+        limits.append((label, min(int((2 * share - 1) * 2.0**63), 2**63 - 1)))
+    kinds = labelled.select("label", F.lit(0).cast("long").alias("_limit")).schema
+    found = labelled.withColumn("_hash", F.xxhash64(F.lit(29), F.col("doc_id")))
+    found = found.join(F.broadcast(spark.createDataFrame(limits, kinds)), "label").filter(F.col("_hash") <= F.col("_limit"))
+    found = found.select("doc_id", "label", "_hash").distinct()
+    rows = found.toPandas().sort_values(["label", "_hash", "doc_id"], ignore_index=True)
+    rows = rows[rows.groupby("label").cumcount() < rows["label"].map(wanted)]
+    rows = rows.drop_duplicates("doc_id")[["doc_id", "label"]]
+    return spark.createDataFrame(pa.Table.from_pandas(rows, preserve_index=False), found.select("doc_id", "label").schema)
 
 
 def sample_rows(docs: DataFrame, ids: DataFrame, columns: list[str], max_bytes: int = SAMPLE_BYTES) -> pa.Table:

@@ -125,7 +125,7 @@ def train(docs: DataFrame, per_lang: int = 800, id_col: str = "doc_id", text_col
     """Fit on documents of the learning folds only."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("label"))
     known = rows.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    ids = sample_ids(known.select("doc_id", "label"), per_lang).dropDuplicates(["doc_id"])
+    ids = sample_ids(known.select("doc_id", "label"), lambda lang: per_lang)
     sample = sample_rows(rows.select("doc_id", "text"), ids, ["doc_id", "text"])
     if not len(sample):
         return None

@@ -250,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, id_col: str
     """Fit on labelled documents of the learning folds only."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    ids = sample_ids(known, per_label)
+    ids = sample_ids(known, lambda label: per_label)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id")
     found = measure(rows, ["doc_id", "label"]).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     if not len(found):

@@ -171,8 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, per_toxic: int = 1200, id_col: str
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    per_label = F.when(F.col("label") >= 1, per_toxic).otherwise(2 * per_toxic)
-    sample = sample_rows(rows, sample_ids(known, per_label), ["doc_id", "text"])
+    ids = sample_ids(known, lambda label: per_toxic if label >= 1 else 2 * per_toxic)
+    sample = sample_rows(rows, ids, ["doc_id", "text"])
     if not len(sample):
         return fit(pa.array([], pa.large_string()), np.empty(0, np.int64))
     _, first = np.unique(np.asarray(sample.column("text").combine_chunks().dictionary_encode().indices), return_index=True)

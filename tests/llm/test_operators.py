@@ -9,8 +9,10 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import (
+    _fit,
     decontamination,
     language_id,
     line_dedup,
@@ -352,3 +354,16 @@ def test_pipeline(spark):
         assert out.columns == docs.columns and 0.5 * docs.count() < out.count() <= docs.count()
         docs = out
     assert corpus_pipeline.run(spark, folder).agg({"length": "sum"}).first()[0] == sum(len(ids_of(r.text)) for r in docs.collect())
+
+
+def test_sample_ids_are_the_smallest_hashes_of_each_label(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("label"))
+    by_hash = {}
+    for r in rows.withColumn("h", F.xxhash64(F.lit(29), F.col("doc_id"))).collect():
+        by_hash.setdefault(r["label"], []).append((r["h"], r["doc_id"]))
+    want = {(i, label) for label, x in by_hash.items() for _, i in sorted(x)[: 20 if label == "a" else 50]}
+    got = _fit.sample_ids(rows.union(rows), lambda label: 20 if label == "a" else 50).collect()
+    assert len(got) == 70 and {tuple(r) for r in got} == want
+    both = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, "b")], "doc_id long, label string")
+    assert {tuple(r) for r in _fit.sample_ids(both, lambda label: 5).collect()} == {(1, "a"), (2, "b")}
+    assert _fit.sample_ids(both.limit(0), lambda label: 5).collect() == []
