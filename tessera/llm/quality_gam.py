@@ -62,7 +62,8 @@ def features(col: pa.LargeStringArray) -> np.ndarray:
     """One row of FEATURES for each text."""
     words = Words(col)
     data, ends = raw(col)
-    counts = segment_sum(_CLASS[data], ends) if len(data) else np.zeros((len(col), 7))
+    # A class at a time: all at once would take seven times the memory.
+    counts = np.column_stack([segment_sum(c[data], ends) for c in _CLASS.T]) if len(data) else np.zeros((len(col), 7))
     n = np.diff(words.bounds).astype(np.float64)
     per_word = np.maximum(n, 1)
     doc = np.repeat(np.arange(len(col)), np.diff(words.bounds))
