@@ -6,7 +6,7 @@ where need be) is within ``edits`` = floor(0.2 * size) word edits of it.
 
 1. Windows that cannot match are left out without loss: an edit changes two word pairs at most, so
    a match keeps size - 1 - 2 * edits of an item's pairs; the places where a text has a pair of some
-   item of the size are counted.
+   item of the size are counted, and a window begins at most 2 * edits words before its first.
 2. CGK: a random walk copies a sequence into 3 * size places, at each place staying on its word or
    going on, by a random bit of the place and the word.  Sequences a few edits apart fall into step
    again, so edit distance becomes Hamming distance.
@@ -220,12 +220,13 @@ class Benchmark:
             size, most = index.size, edits_of(index.size)
             p = hits[own[which]]
             need = max(size - 1 - 2 * most, 1)
-            # A window starts at its first hit or at most `edits` words before, and so the rest of
-            # the hits that it needs stand within its size after that first hit.
+            # An edit breaks two pairs at most, so a window starts at its first hit or at most
+            # 2 * edits words before, and the rest of the hits that it needs stand within its size
+            # after that first hit.
             first = p[np.searchsorted(p, p + size - 1) - np.arange(len(p)) >= need]
             if not len(first):
                 continue
-            at = np.unique(ragged(first - most, np.full(len(first), most + 1)))
+            at = np.unique(ragged(first - 2 * most, np.full(len(first), 2 * most + 1)))
             at = at[at >= 0]
             stop = np.minimum(at + size, bounds[doc[at] + 1])
             n = np.searchsorted(p, stop - 1) - np.searchsorted(p, at)

@@ -302,6 +302,25 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.find(docs, bench.limit(0)).count() == 0 and decontamination.find(empty, bench).count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 9, 10, 15, 19, 30])
+def test_decontamination_proposes_windows_with_edits_at_an_items_first_words(size, monkeypatch):
+    # Every item is a candidate, so what is missed the count before the LSH has left out.
+    everything = lambda self, x: np.column_stack([a.ravel() for a in np.mgrid[: len(x), : len(self.words)]])
+    monkeypatch.setattr(decontamination.SizeIndex, "candidates", everything)
+    r = random.Random(size)
+    items = [[f"w{r.randrange(10**6)}" for _ in range(size)] for _ in range(30)]
+    index = decontamination.Benchmark(list(range(30)), [" ".join(x) for x in items])
+    found = 0
+    for k, item in enumerate(items):
+        words = list(item)
+        for e in range(decontamination.edits_of(size)):
+            words[2 * e + 1] = f"edited{e}"
+        text = " ".join([f"before{j}" for j in range(20)] + words + [f"after{j}" for j in range(20)])
+        got = index.search(pa.array([text], pa.large_string()))
+        found += (0, k, 20, size, decontamination.edits_of(size)) in got
+    assert found == len(items)
+
+
 def test_classifiers_on_edges(spark, docs, empty):
     labels = spark.createDataFrame([(i * 3, i % 2, (i + 1) % 2) for i in range(20)] + [(3, None, 1), (None, 1, 1), (3, 0, 1)], "doc_id long, quality int, toxic int")
     for module in (toxicity, quality_gam):
