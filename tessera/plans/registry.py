@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import semantics
-from tessera.operators import changelog, stats, versions
+from tessera.operators import changelog, locks, stats, versions
 from tessera.plans.dialect import rewrite
 from tessera.sources.tables import NAMES, read, views
 
@@ -305,8 +305,20 @@ def wal_losers(spark: SparkSession, folder: str) -> DataFrame:
     return changelog.losers(_log(spark, folder)).select("lsn", "xid", "type")
 
 
-_sql(
-    "deadlock_cycles",
-    "SELECT DISTINCT a.x AS a, a.y AS b FROM (SELECT user_id % 40 AS x, event_id % 41 AS y FROM events) AS a "
-    "JOIN (SELECT user_id % 40 AS x, event_id % 41 AS y FROM events WHERE event_id < 500) AS b ON a.x = b.y AND a.y = b.x WHERE a.x < a.y",
+_WAITS = "SELECT DISTINCT user_id % 40 AS x, event_id % 41 AS y FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL"
+
+
+@_query(
+    f"WITH RECURSIVE e AS ({_WAITS}), reach(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach AS r JOIN e ON r.y = e.x) "
+    "SELECT p.x AS a, p.y AS b, EXISTS (SELECT 1 FROM e WHERE e.x = p.x AND e.y = p.y) AND EXISTS (SELECT 1 FROM e WHERE e.x = p.y AND e.y = p.x) AS direct "
+    "FROM reach AS p JOIN reach AS q ON p.x = q.y AND p.y = q.x WHERE p.x < p.y"
 )
+def deadlock_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs that wait for each other, directly or by a cycle of any length; at most 40 * 41 edges are brought to the driver."""
+    waits: dict[int, set[int]] = {}
+    for x, y in views(spark, folder, ["events"]).sql(rewrite(_WAITS)).collect():
+        waits.setdefault(x, set()).add(y)
+    pairs = [
+        (a, b, b in waits[a] and a in waits[b]) for group in locks.groups(waits) for a in group for b in group if a < b
+    ]
+    return spark.createDataFrame(pairs, "a long, b long, direct boolean")

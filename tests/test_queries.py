@@ -47,3 +47,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_deadlock_cycles_of_any_length_and_late_events(spark, tmp_path):
+    waits = [(1, 2), (2, 3), (3, 1), (5, 6), (6, 5), (7, 8)]
+    rows = [(41 * 20 + y, x) for x, y in waits] * 2
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.QUERIES["deadlock_cycles"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, False), (1, 3, False), (2, 3, False), (5, 6, True)]
