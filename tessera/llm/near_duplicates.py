@@ -3,7 +3,7 @@
 Documents are sets of word 5-grams (a shorter text is one n-gram of all its words); two are linked
 if the Jaccard similarity is 0.8 or more.
 
-1. Equal word sequences are one text; its smallest doc_id stands for it.
+1. Equal word sequences are one text, a node with a number of its own; doc_ids only name classes.
 2. MinHash signatures of 80 values, cut into 20 bands: texts that agree in a band are candidates
    (a pair at the threshold is missed with probability 3e-5).
 3. Candidates are compared 16 values at a time.  With a uniform prior, the posterior probability
@@ -19,9 +19,9 @@ documents, not with pairs.
 
 Result: one row for each document with class_id, the smallest doc_id of its component of links,
 and n_links, the number of other documents that it is linked to (copies count).  Defined results:
-a text without a word is linked to nothing; repeated rows of a doc_id are copies, or one node if
-their texts differ; a null doc_id counts as the smallest and is given back as null; no rows give
-no rows.
+a text without a word is linked to nothing; rows of equal texts are copies, and different texts of
+one doc_id, or of none, are different nodes; a null doc_id is given back as null, and class_id is
+null if all of a class are null; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm._shared import Workspace, even_join, map_arrow
 from tessera.llm._words import Words, mix, segment_sum, slices, text_column
@@ -232,7 +233,7 @@ def _group_sizes(t: pa.Table) -> np.ndarray:
 def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket, a spanning forest of the pairs that survive pruning."""
     for t in _groups(batches, 4096):
-        sig, node, band = _signature_array(t), t.column("_id").to_numpy(), t.column("_band").to_numpy()
+        sig, node, band = _signature_array(t), t.column("_node").to_numpy(), t.column("_band").to_numpy()
         left, right = [], []
         for a, b in _pairs_of(t, _group_sizes(t)):
             for s in range(0, len(a), 1 << 16):
@@ -278,10 +279,10 @@ def exact(h: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
 def _verified_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each text of a component (or pair of its blocks): node, root there, copies linked."""
     for t in _groups(batches, 256):
-        k = [t.column(c).to_numpy() for c in ("_g", "_i", "_j", "_id", "_t")]
+        k = [t.column(c).to_numpy() for c in ("_g", "_i", "_j", "_node")]
         once = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in k]))
         t = t.filter(pa.array(once))  # repeated rows
-        sig, node, copies = _signature_array(t), t.column("_id").to_numpy(), t.column("_copies").to_numpy()
+        sig, node, copies = _signature_array(t), t.column("_node").to_numpy(), t.column("_copies").to_numpy()
         part = pa.RecordBatch.from_pydict({"text": t.column("text").combine_chunks()})
         h, bounds = grams(Words(text_column(part)))
         local = np.unique(h, return_inverse=True)[1].astype(np.int64)
@@ -308,73 +309,111 @@ def _verified_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_pydict({"u": node, "v": forest(node, a, b), "links": links})
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id and n_links of every row of docs."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "near")
+def _known(c: str):
+    """An _id, null for NO_ID."""
+    return F.when(F.col(c) != NO_ID, F.col(c))
+
+
+def _classes(ws: Workspace, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """_signed() of docs; and of each text with words _s1, _s2, _rep (its smallest id), _copies, _root, _class and _links."""
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).withColumn("_t", F.xxhash64("text"))
     signed = ws.save(_signed(rows), "signed")
-    texts = signed.filter("_n > 0").groupBy("_s1", "_s2").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies"))
-    texts = ws.save(texts, "texts")
-    reps = signed.join(texts.withColumnRenamed("_rep", "_id"), ["_id", "_s1", "_s2"]).dropDuplicates(["_id", "_s1", "_s2"])
+    texts = signed.filter("_n > 0").groupBy("_s1", "_s2")
+    texts = texts.agg(F.coalesce(F.min(_known("_id")), F.lit(NO_ID)).alias("_rep"), F.count("*").alias("_copies"))
+    texts = ws.save(texts.withColumn("_node", F.monotonically_increasing_id()), "texts")
+    reps = signed.join(texts.withColumnRenamed("_rep", "_id"), ["_id", "_s1", "_s2"]).dropDuplicates(["_node"])
     reps = ws.save(reps, "reps")
 
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("_sig", 1 + b * ROWS * 4, ROWS * 4)) for b in range(BANDS)])
-    bands = reps.select("_id", "_s1", F.posexplode(keys).alias("_band", "_key"))
+    bands = reps.select("_node", F.posexplode(keys).alias("_band", "_key"))
     buckets = bands.groupBy("_key").agg(F.count("*").alias("_size")).filter("_size > 1")
     buckets = ws.save(buckets, "buckets")
     total = reps.count() * BANDS
     members = even_join(bands, buckets, ["_key"], "_size", total)
-    members = members.withColumn("_blocks", F.ceil(F.col("_size") / BUCKET_BLOCK)).join(
-        reps.select("_id", "_s1", "_sig"), ["_id", "_s1"]
-    )
-    members = _split(members, "_blocks", "_key", "_id").select("_g", "_i", "_j", "_b", "_band", "_id", "_sig")
+    members = members.withColumn("_blocks", F.ceil(F.col("_size") / BUCKET_BLOCK)).join(reps.select("_node", "_sig"), "_node")
+    members = _split(members, "_blocks", "_key", "_node").select("_g", "_i", "_j", "_b", "_band", "_node", "_sig")
     edges = map_arrow(_by_group(members), _candidate_edges, "u long, v long")
     groups = ws.save(components(ws, edges), "groups")
 
-    found = reps.join(groups.withColumnRenamed("node", "_id"), "_id").select("_id", "_t", "_n", "_copies", "_sig", "root")
+    found = reps.join(groups.withColumnRenamed("node", "_node"), "_node")
+    found = found.select("_node", "_id", "_t", "_n", "_copies", "_sig", "root")
     sizes = found.groupBy("root").agg(F.count("*").alias("_texts"), F.sum("_n").alias("_grams"))
     sizes = sizes.withColumn(
         "_blocks", F.greatest(F.ceil(F.col("_texts") / VERIFY_BLOCK), F.ceil(F.col("_grams") / VERIFY_GRAMS))
     )
     found = ws.save(even_join(found, sizes, ["root"], "_texts", groups.count()), "found")
-    split = _split(rows.join(found, ["_id", "_t"]), "_blocks", "root", "_id")
-    split = split.select("_g", "_i", "_j", "_b", "_id", "_t", "_copies", "_sig", "text")
+    split = _split(rows.join(found, ["_id", "_t"]), "_blocks", "root", "_node")
+    split = split.select("_g", "_i", "_j", "_b", "_node", "_copies", "_sig", "text")
     links = ws.save(map_arrow(_by_group(split), _verified_links, "u long, v long, links long"), "links")
-    classes = components(ws, links.select("u", "v"))
-    by_node = links.groupBy(F.col("u").alias("_rep")).agg(F.sum("links").alias("_links"))
-    by_node = by_node.join(classes.select(F.col("node").alias("_rep"), F.col("root").alias("_class")), "_rep", "left")
+    linked = components(ws, links.select("u", "v"))
+    by_node = links.groupBy(F.col("u").alias("_node")).agg(F.sum("links").alias("_links"))
+    by_node = by_node.join(linked.select(F.col("node").alias("_node"), F.col("root").alias("_root")), "_node", "left")
 
-    texts = texts.join(by_node, "_rep", "left").withColumns(
+    texts = texts.join(by_node, "_node", "left").withColumns(
         {
-            "_class": F.coalesce("_class", "_rep"),
+            "_root": F.coalesce("_root", "_node"),
             "_links": F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1,
         }
     )
-    texts = ws.save(texts, "classes")
+    texts = ws.save(texts, "rooted")
+    # Only classes of two texts or more need a name from elsewhere.
+    names = texts.groupBy("_root").agg(F.min(_known("_rep")).alias("_class"), F.count("*").alias("_texts")).filter("_texts > 1")
+    names = ws.save(names, "names")
+    named = even_join(texts, names, ["_root"], "_texts", texts.count()).drop("_texts")
+    alone = texts.join(names, "_root", "left_anti").withColumn("_class", _known("_rep"))
+    return signed, ws.save(named.unionByName(alone), "classes")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id and n_links of every row of docs."""
+    signed, texts = _classes(Workspace(docs.sparkSession, "near"), docs, id_col, text_col)
     full = even_join(
         signed.filter("_n > 0").select("_id", "_s1", "_s2"), texts, ["_s1", "_s2"], "_copies", signed.count()
     ).select("_id", "_class", "_links")
-    bare = signed.filter("_n = 0").select("_id", F.col("_id").alias("_class"), F.lit(0).cast("long").alias("_links"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    bare = signed.filter("_n = 0").select("_id", _known("_id").alias("_class"), F.lit(0).cast("long").alias("_links"))
     return full.unionByName(bare).select(
-        real("_id").alias("doc_id"), real("_class").alias("class_id"), F.col("_links").cast("long").alias("n_links")
+        _known("_id").alias("doc_id"), F.col("_class").alias("class_id"), F.col("_links").cast("long").alias("n_links")
     )
 
 
 def _by_group(members: DataFrame) -> DataFrame:
     """Whole groups in a partition, next to each other."""
-    order = [c for c in ("_g", "_i", "_j", "_id", "_t") if c in members.columns]
-    return members.repartition("_g", "_i", "_j").sortWithinPartitions(*order)
+    return members.repartition("_g", "_i", "_j").sortWithinPartitions("_g", "_i", "_j", "_node")
+
+
+def _marked(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with _tsr_s1, _tsr_s2 and _tsr_words (if its text has a word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                words = Words(text_column(part, text_col))
+                s1, s2 = sequence_hash(words)
+                more = [pa.array(s1), pa.array(s2), pa.array(np.diff(words.bounds) > 0)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "_tsr_s1", "_tsr_s2", "_tsr_words"])
+
+    kind = T.StructType([*docs.schema.fields])
+    return map_arrow(docs, run, kind.add("_tsr_s1", "long").add("_tsr_s2", "long").add("_tsr_words", "boolean"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose class has a smaller doc_id; of rows of one doc_id one stays."""
+    """One row of each class, of its smallest doc_id, and all rows without a word but repeated rows of a doc_id."""
     ws = Workspace(docs.sparkSession, "keep")
-    classes = ws.save(join(docs, id_col, text_col), "classes")
-    losers = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_tsr_loser")).distinct()
-    kept = docs.join(losers, F.col(id_col).eqNullSafe(F.col("_tsr_loser")), "left_anti")
-    repeated = classes.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    signed, texts = _classes(ws, docs, id_col, text_col)
+    # Nulls come last, as a class with a doc_id is named by it.
+    best = F.min(F.struct((F.col("_rep") == NO_ID).alias("null"), "_rep", "_s1", "_s2")).alias("b")
+    best = texts.groupBy("_root").agg(best).select("b._rep", "b._s1", "b._s2").withColumnRenamed("_rep", "_id")
+    sizes = signed.groupBy("_id", "_s1", "_s2").agg(F.count("*").alias("_tsr_n"), F.max("_n").alias("_n"))
+    best = sizes.filter("_n > 0").join(best, ["_id", "_s1", "_s2"], "left_semi").drop("_n")
+    key = ["_tsr_id", "_tsr_s1", "_tsr_s2"]
+    best = ws.save(best.select(*[F.col(a).alias(b) for a, b in zip(("_id", "_s1", "_s2"), key)], "_tsr_n"), "best")
+    rows = _marked(docs, text_col).withColumn("_tsr_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    kept = even_join(rows.filter("_tsr_words"), best, key, "_tsr_n", signed.count())
+    if best.filter("_tsr_n > 1").limit(1).count():
+        kept = kept.dropDuplicates(key)
+    bare = rows.filter("not _tsr_words")
+    named = bare.filter(F.col("_tsr_id") != NO_ID).dropDuplicates(["_tsr_id"])
+    bare = named.unionByName(bare.filter(F.col("_tsr_id") == NO_ID))
+    return kept.select(*docs.columns).unionByName(bare.select(*docs.columns))

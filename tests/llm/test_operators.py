@@ -236,6 +236,21 @@ def test_near_duplicates_edges(docs, empty):
     assert near_duplicates.keep_one(docs).columns == docs.columns
 
 
+def test_near_duplicates_without_ids_or_with_repeated_ids(spark):
+    texts = [prose(60, 3000 + k) for k in range(12)]
+    near = texts[0].split(" ")
+    near[-1] = "changed"
+    rows = [(None, t) for t in texts[:6]] + [(7, texts[1]), (8, " ".join(near)), (9, texts[6]), (9, texts[7]), (10, texts[7]), (9, texts[6])]
+    rows += [(None, ""), (None, None), (11, ""), (11, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter(tuple(r) for r in near_duplicates.join(df).collect())
+    want = [(None, 8, 1), (None, 7, 1), *[(None, None, 0)] * 4, (7, 7, 1), (8, 8, 1), (9, 9, 1), (9, 9, 1), (9, 9, 1), (10, 9, 1)]
+    assert got == collections.Counter([*want, (None, None, 0), (None, None, 0), (11, 11, 0), (11, 11, 0)])
+    kept = collections.Counter(tuple(r) for r in near_duplicates.keep_one(df).collect())
+    want = [*[(None, t) for t in texts[2:6]], (7, texts[1]), (8, " ".join(near)), (9, texts[6]), (9, texts[7])]
+    assert kept == collections.Counter([*want, (None, ""), (None, None), (11, "")])
+
+
 def test_posterior_bound():
     for n, least in near_duplicates._KEEP:
         below = sum(near_duplicates.math.comb(n + 1, k) * 0.8**k * 0.2 ** (n + 1 - k) for k in range(least))
