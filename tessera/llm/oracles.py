@@ -21,7 +21,7 @@ WITH d AS (
 ), normal AS (
   SELECT r, host, t, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS x FROM lines
 ), hosts AS (
-  SELECT host, count(*) AS n FROM d GROUP BY host
+  SELECT host, count(DISTINCT t) AS n FROM d GROUP BY host -- distinct texts, as in often
 ), often AS (
   SELECT host, x FROM (SELECT host, x, count(DISTINCT t) AS texts FROM normal GROUP BY host, x) JOIN hosts USING (host)
   WHERE texts > 10 AND texts > n * 0.02

@@ -2,8 +2,9 @@
 
 Every line with a word is normalised (white space at the ends off and inside as one space, lower
 case) and hashed.  For each host, here ``source``, the distinct texts that hold a line are
-counted.  A line is boilerplate of the host if more than max(min_docs, share * documents of the
-host) texts hold it: the limit is a share, so it means the same at every size.  Documents that
+counted.  A line is boilerplate of the host if more than max(min_docs, share * distinct texts of
+the host) texts hold it: the limit is a share, so it means the same at every size, and copies count
+on neither side.  Documents that
 keep less than ``min_left`` of their words without boilerplate are depleted and rejected, and so
 are those that fail the base rules: under 50 words, or more than half of the words in 3-word
 windows that occur twice or more in the text.
@@ -117,7 +118,7 @@ def judge(
     lines = rows.select("_row", "_host", "_text", F.explode("_lines").alias("_line")).select(
         "_row", "_host", "_text", F.col("_line.h").alias("_h"), F.col("_line.w").alias("_w")
     )
-    hosts = rows.groupBy("_host").agg(F.count("*").alias("_docs"))
+    hosts = rows.select("_host", "_text").distinct().groupBy("_host").agg(F.count("*").alias("_all"))
     counts = (
         lines.groupBy("_host", "_h", "_text")  # spreads a hot line's rows by text, and merges copies before they move
         .agg(F.count("*").alias("_n"))
@@ -125,7 +126,7 @@ def judge(
         .agg(F.count("*").alias("_texts"), F.sum("_n").alias("_n"))
         .filter(F.col("_texts") > min_docs)
     )
-    often = counts.join(hosts, "_host").filter(F.col("_texts") > F.col("_docs") * F.lit(share)).select("_host", "_h", "_n")
+    often = counts.join(hosts, "_host").filter(F.col("_texts") > F.col("_all") * F.lit(share)).select("_host", "_h", "_n")
     often = ws.save(often, "often")
     total = rows.agg(F.sum(F.size("_lines"))).first()[0] or 0
     lost = even_join(lines, often, ["_host", "_h"], "_n", total).groupBy("_row").agg(F.sum("_w").alias("_lost"))

@@ -87,6 +87,16 @@ def test_boilerplate_depletes(spark):
     assert not any(got[i] for i in range(30)) and all(got[100 + i] for i in range(30))
 
 
+def test_copies_do_not_hide_boilerplate(spark):
+    line = "this line stands in every document of the host"
+    rows = [(i, f"{line}\n{prose(5, i if i < 100 else 100)}", "en", "h", 0, 0, "", 0, 0, "") for i in range(6000)]
+    copied = spark.createDataFrame(rows, SCHEMA)
+    got = quality_rules.judge(copied).select("boilerplate_words").distinct().collect()
+    assert min(r[0] for r in got) >= len(line.split(" "))
+    few = copied.filter("doc_id < 400")
+    check_oracle(few, quality_rules.judge(few), oracles.QUALITY_RULES)
+
+
 def test_sharding(docs, empty):
     got = sharding.digest(sharding.shard(docs)).toPandas()
     n = got.groupby("shard").size().reindex(range(40), fill_value=0)
