@@ -4,12 +4,19 @@ A line's key is the line without \\x20 and \\x09-\\x0D at its ends, A-Z in lower
 least ``min_chars`` code points that ``min_docs`` documents or more hold lose all their lines,
 except in the largest doc_id that holds them.  Other lines stay.
 
-A run is a table of (key hash, documents, largest doc_id), sorted by hash.  Each batch of
-documents adds one run at level 0; ``fan`` runs of a level are merged into one of the next, so n
-batches leave about fan * log(n) runs and each row is rewritten log(n) times.  Lines are
-anti-joined with the merged runs by sort-merge.  As the rule looks at all documents, a table is
-first added batch by batch and then anti-joined; ``keep_new`` is the one-way form, in which each
-new batch is judged by what came before it and then adds its run.
+1. Documents that hold a key are counted, and only lines of keys at the limit go on.
+2. These come in batches, the largest doc_ids first.  Each batch's keys are merge-anti-joined with
+   the runs: those that no run holds are met for the first time, so the batch has their largest
+   doc_id, and they become the batch's own run.
+3. Lines that are anti-joined with the runs, by key and doc_id, go: another document keeps the key.
+
+A run is a table of (key hash, largest doc_id), bucketed and sorted by hash, so that its side of a
+merge needs no exchange.  A batch adds one run at level 0; ``fan`` runs of a level are merged into
+one of the next, so n batches leave about fan * log(n) runs and each row is rewritten log(n) times.
+``keep_new`` is the one-way form, in which each new batch keeps what no run before it holds.
+
+Keys with a large share of all lines are joined by broadcast (there are at most HEAVY of them), and
+a key's lines are summed up before they move, so no key fills a task.
 
 Defined results: a null or empty text is one empty line; a null doc_id counts as one document,
 smaller than any other; repeated rows of a doc_id are one document; no rows give no rows; other
@@ -18,10 +25,12 @@ columns are passed through by ``dedup``.  Key hashes have 128 bits.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import HEAVY, Workspace
+from tessera.llm._shared import HEAVY, Workspace, delete, even_join
 
 STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,70 +56,106 @@ def line_keys(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col:
     return lines.select("_id", "_t1", "_t2", "_pos", h1.alias("_h1"), h2.alias("_h2"))
 
 
+KEY = ["_h1", "_h2"]
+
+
 class LineRuns:
     """The levels of sorted runs.  ``levels[i]`` holds at most ``fan - 1`` runs between calls."""
 
-    def __init__(self, spark: SparkSession, ws: Workspace, fan: int = 4):
+    def __init__(self, spark: SparkSession, ws: Workspace, fan: int = 4, buckets: int | None = None):
         self.spark, self.ws, self.fan = spark, ws, fan
-        self.levels: list[list[DataFrame]] = []
-
-    def add(self, lines: DataFrame) -> None:
-        """Add a batch's run (its documents are in no other batch)."""
-        # Twice: a key's hot rows are first spread by document, then summed before they move.
-        held = lines.select("_h1", "_h2", "_id").distinct()
-        self._put(held.groupBy("_h1", "_h2").agg(F.count("*").alias("n_docs"), F.max("_id").alias("keeper")), 0)
-
-    def _put(self, run: DataFrame, level: int) -> None:
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
+
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(x) for level in self.levels for x in level]
+
+    def without(self, rows: DataFrame, kept: bool = False) -> DataFrame:
+        """Rows whose key no run holds; or, if ``kept``, rows but those of the keepers.  A merge with
+        each run, for which the rows are moved and sorted once."""
+        for run in self.runs():
+            run = run.select(*[F.col(k).alias(f"_run{k}") for k in KEY], "keeper").hint("merge")
+            same = (F.col("_h1") == F.col("_run_h1")) & (F.col("_h2") == F.col("_run_h2"))
+            rows = rows.join(run, same & (F.col("_id") >= F.col("keeper")) if kept else same, "left_anti")
+        return rows
+
+    def add(self, keys: DataFrame) -> None:
+        """Add a run of (key, keeper), whose keys no run holds."""
+        self._put(keys, 0)
+
+    def _put(self, rows: DataFrame, level: int) -> None:
         if len(self.levels) == level:
             self.levels.append([])
-        self.levels[level].append(self.ws.save(run.sortWithinPartitions("_h1", "_h2"), f"run-{level}"))
+        name, path = f"tessera_run_{uuid.uuid4().hex}", self.ws.path(f"run-{level}")
+        rows = rows.select(*KEY, "keeper").repartition(self.buckets, *KEY)
+        rows.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+        self.paths[name] = path
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fan:
             old, self.levels[level] = self.levels[level], []
-            self._put(self._merged(old), level + 1)
-            for x in old:
-                self.ws.drop(x)
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for x in runs[1:]:
-            rows = rows.unionByName(x)
-        if len(runs) == 1:
-            return rows
-        return rows.groupBy("_h1", "_h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
-
-    def merged(self) -> DataFrame | None:
-        runs = [x for level in self.levels for x in level]
-        return self._merged(runs) if runs else None
-
-    def anti_join(self, lines: DataFrame, min_docs: int, total: int) -> tuple[DataFrame, DataFrame] | None:
-        """The lines that go, in two parts: of heavy keys (at most HEAVY, broadcast) and of others."""
-        runs = self.merged()
-        if runs is None:
-            return None
-        closed = self.ws.save(runs.filter(F.col("n_docs") >= min_docs), "closed")
-        is_heavy = F.col("n_docs") * F.lit(HEAVY) >= F.lit(max(total, 1))
-        heavy, light = closed.filter(is_heavy), closed.filter(~is_heavy)
-        keys = ["_h1", "_h2"]
-        gone = F.col("_id") < F.col("keeper")
-        rest = lines.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
-        return lines.join(F.broadcast(heavy), keys).filter(gone), rest.join(light, keys).filter(gone)
+            self._put(self._together(old), level + 1)
+            self._drop(old)
+
+    def _together(self, names: list[str]) -> DataFrame:
+        rows = self.spark.table(names[0])
+        for x in names[1:]:
+            rows = rows.unionByName(self.spark.table(x))
+        return rows
+
+    def _drop(self, names: list[str]) -> None:
+        for x in names:
+            self.spark.sql(f"DROP TABLE {x}")
+            delete(self.spark, self.paths.pop(x))
+
+    def close(self) -> None:
+        """Delete all runs."""
+        self._drop([x for level in self.levels for x in level])
+        self.levels = []
+
+    def keepers(self) -> DataFrame:
+        """All runs: (key, keeper), each key once."""
+        names = [x for level in self.levels for x in level]
+        return self._together(names)
+
+
+def _batches(lines: DataFrame, batches: int) -> list:
+    """Conditions that deal out lines by _id, the largest first, in parts of about equal size."""
+    share = [k / batches for k in range(batches - 1, 0, -1)]
+    bounds = lines.agg(F.percentile_approx("_id", share, 1000).alias("b")).first()["b"] if share else []
+    bounds = sorted(set(bounds or []), reverse=True)
+    out, above = [], None
+    for b in bounds:
+        out.append(F.col("_id") > b if above is None else (F.col("_id") > b) & (F.col("_id") <= above))
+        above = b
+    return [*out, F.lit(True) if above is None else F.col("_id") <= above]
 
 
 def dropped_lines(
     docs: DataFrame, min_docs: int, min_chars: int, batches: int, id_col: str, text_col: str, ws: Workspace
 ) -> DataFrame:
     """_id, _t1, _t2 of the texts that lose lines, and the array _gone of their positions."""
-    lines = line_keys(docs, min_chars, id_col, text_col)
-    batch = F.pmod(F.xxhash64(F.lit(5), F.col("_id")), F.lit(batches)).cast("int")
-    lines = ws.save(lines.withColumn("_batch", batch), "lines", partition_by="_batch")
+    lines = ws.save(line_keys(docs, min_chars, id_col, text_col), "lines")
+    # Twice: a key's lines are first summed by document, then by key, each time before they move.
+    held = lines.groupBy(*KEY, "_id").agg(F.count("*").alias("_n"))
+    counts = held.groupBy(*KEY).agg(F.count("*").alias("_docs"), F.sum("_n").alias("_n"))
+    often = ws.save(counts.filter(F.col("_docs") >= min_docs).select(*KEY, "_n"), "often")
+    total = lines.count()
+    lines = ws.save(even_join(lines, often, KEY, "_n", total), "repeated")
+
     runs = LineRuns(docs.sparkSession, ws)
-    for b in range(batches):
-        runs.add(lines.filter(F.col("_batch") == b))
-    lines = lines.drop("_batch")
-    heavy, light = runs.anti_join(lines, min_docs, lines.count())
-    gone = heavy.select("_id", "_t1", "_t2", "_pos").unionByName(light.select("_id", "_t1", "_t2", "_pos"))
-    return ws.save(gone.groupBy("_id", "_t1", "_t2").agg(F.collect_set("_pos").alias("_gone")), "gone")
+    try:
+        for part in _batches(lines, batches):
+            keys = lines.filter(part).groupBy(*KEY).agg(F.max("_id").alias("_id"))
+            runs.add(runs.without(keys).withColumnRenamed("_id", "keeper"))
+        is_heavy = F.col("_n") * F.lit(HEAVY) >= F.lit(max(total, 1))
+        heavy = F.broadcast(often.filter(is_heavy).select(*KEY))
+        hot = runs.keepers().join(heavy, KEY, "left_semi").withColumnRenamed("keeper", "_id")  # at most HEAVY rows
+        gone = lines.filter(is_heavy).join(F.broadcast(hot), [*KEY, "_id"], "left_anti")
+        gone = gone.unionByName(runs.without(lines.filter(~is_heavy), kept=True))
+        return ws.save(gone.groupBy("_id", "_t1", "_t2").agg(F.collect_set("_pos").alias("_gone")), "gone")
+    finally:
+        runs.close()
 
 
 def dedup(
@@ -150,16 +195,12 @@ def dedup(
     return rows.select(*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
 
 
-def keep_new(runs: LineRuns, batch: DataFrame, min_docs: int, min_chars: int = 40) -> DataFrame:
-    """Lines (by _id, _t1, _t2, _pos) of a new batch whose key the runs hold in fewer than
-    ``min_docs`` documents; the batch's run is added afterwards."""
+def keep_new(runs: LineRuns, batch: DataFrame, min_chars: int = 40) -> DataFrame:
+    """Lines (by _id, _t1, _t2, _pos) of a new batch whose key no run holds; the batch's keys are
+    its run afterwards."""
     lines = runs.ws.save(line_keys(batch, min_chars), "batch")
-    seen = runs.merged()
-    kept = lines
-    if seen is not None:
-        kept = lines.join(seen.filter(F.col("n_docs") >= min_docs), ["_h1", "_h2"], "left_anti")
-    kept = runs.ws.save(kept, "kept")
-    runs.add(lines)
+    kept = runs.ws.save(runs.without(lines), "kept")
+    runs.add(kept.groupBy(*KEY).agg(F.max("_id").alias("keeper")))
     return kept
 
 
