@@ -17,14 +17,14 @@ WITH d AS (
 ), covered AS (
   SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY r
 ), lines AS (
-  SELECT r, host, t, unnest(ls) AS x FROM w
+  SELECT r, host, unnest(ls) AS x FROM w
 ), normal AS (
-  SELECT r, host, t, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS x FROM lines
+  SELECT r, host, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS x FROM lines
 ), hosts AS (
-  SELECT host, count(DISTINCT t) AS n FROM d GROUP BY host -- distinct texts, as in often
+  SELECT host, count(*) AS n FROM d GROUP BY host
 ), often AS (
-  SELECT host, x FROM (SELECT host, x, count(DISTINCT t) AS texts FROM normal GROUP BY host, x) JOIN hosts USING (host)
-  WHERE texts > 10 AND texts > n * 0.02
+  SELECT host, x FROM (SELECT host, x, count(DISTINCT r) AS docs FROM normal GROUP BY host, x) JOIN hosts USING (host)
+  WHERE docs > 10 AND docs > n * 0.02
 ), lost AS (
   SELECT r, sum(len(x) - len(replace(x, ' ', '')) + 1) AS n FROM normal JOIN often USING (host, x) GROUP BY r
 ), base AS (
@@ -71,16 +71,18 @@ FROM c
 
 LINE_DEDUP = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+  -- without a doc_id: one document, smaller than any other
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS id,
+         string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), l AS (
-  SELECT r, doc_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM d
+  SELECT r, doc_id, id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM d
 ), k AS (
   SELECT *, translate(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
 ), hot AS (
-  SELECT key, max(doc_id) AS keeper FROM k WHERE len(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+  SELECT key, max(id) AS keeper FROM k WHERE len(key) >= 40 GROUP BY key HAVING count(DISTINCT id) >= 5
 ), f AS (
-  SELECT k.*, hot.key IS NOT NULL AND k.doc_id <> hot.keeper AS gone FROM k LEFT JOIN hot ON k.key = hot.key
+  SELECT k.*, hot.key IS NOT NULL AND k.id <> hot.keeper AS gone FROM k LEFT JOIN hot ON k.key = hot.key
 )
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256

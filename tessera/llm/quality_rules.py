@@ -1,16 +1,15 @@
 """Quality rules from cross-document line frequency (DataFrame functions only).
 
 Every line with a word is normalised (white space at the ends off and inside as one space, lower
-case) and hashed.  For each host, here ``source``, the distinct texts that hold a line are
-counted.  A line is boilerplate of the host if more than max(min_docs, share * distinct texts of
-the host) texts hold it: the limit is a share, so it means the same at every size, and copies count
-on neither side.  Documents that
-keep less than ``min_left`` of their words without boilerplate are depleted and rejected, and so
-are those that fail the base rules: under 50 words, or more than half of the words in 3-word
-windows that occur twice or more in the text.
+case) and hashed.  For each host, here ``source``, the distinct documents (rows) that hold a line
+are counted.  A line is boilerplate of the host if more than max(min_docs, share * documents of the
+host) hold it: the limit is a share, so it means the same at every size.  Documents that keep less
+than ``min_left`` of their words without boilerplate are depleted and rejected, and so are those
+that fail the base rules: under 50 words, or more than half of the words in 3-word windows that
+occur twice or more in the text.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its
-own; repeated rows are judged like one; no rows give no rows.
+own; repeated rows are documents of their own; no rows give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,32 +23,31 @@ WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 
-def repeated_words(words: Column) -> Column:
-    """Words that stand in a 3-word window found twice or more, the first time included.
-
-    Windows are sorted with their positions, n log n for a text of n words; equal neighbours are
-    the repeated ones, and in order of position each covers the words that the one before didn't.
-    """
-    n = F.size(words)
-    windows = F.transform(
-        F.sequence(F.lit(1), n - 2),
-        lambda i: F.struct(
-            F.xxhash64(F.element_at(words, i), F.lit(1), F.element_at(words, i + 1), F.lit(2), F.element_at(words, i + 2)).alias("h"),
-            i.alias("i"),
-        ),
-    )
-    return F.when(n >= 4, windows)
+def window_hashes(words: Column) -> Column:
+    """A hash of each 3-word window; null for fewer than two windows."""
+    n = F.size(words) - 2
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    pairs = F.zip_with(F.slice(hashed, F.lit(1), n), F.slice(hashed, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+    return F.when(n >= 2, F.zip_with(pairs, F.slice(hashed, F.lit(3), n), lambda ab, c: F.xxhash64(ab, c)))
 
 
 def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+
+    Words in repeated windows: only a text with two equal windows has them sorted, n log n for n
+    words, by hash and place.  There equal neighbours are the repeated windows, and in order of
+    place each covers the words that the one before didn't.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     spaced = F.btrim(F.translate(text, "\t\n\x0b\x0c\r", "     "), F.lit(" "))
     bare = F.translate(text, WHITE, "")
     words = F.when(F.length(bare) > 0, F.split(spaced, " +")).otherwise(F.array().cast("array<string>"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
     rows = docs.withColumns({"_words": words, "_lines": lines})
-    rows = rows.withColumn("_sorted", F.sort_array(repeated_words(F.col("_words"))))
+    rows = rows.withColumn("_windows", window_hashes(F.col("_words")))
+    some = F.size(F.array_distinct("_windows")) < F.size("_windows")
+    placed = F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    rows = rows.withColumn("_sorted", F.when(some, F.sort_array(placed)))
     last = F.size("_sorted")
     repeated = F.sort_array(
         F.transform(
@@ -75,9 +73,9 @@ def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "word_chars": F.length(bare).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.when(F.size("_words") >= 4, covered).otherwise(0).cast("long"),
+            "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         }
-    ).drop("_words", "_sorted", "_twice")
+    ).drop("_words", "_windows", "_sorted", "_twice")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return rows.withColumn("base_failed", failed)
 
@@ -93,7 +91,6 @@ def judge(
 ) -> DataFrame:
     """One row for each document: doc_id, the base columns, boilerplate_words and kept."""
     ws = Workspace(docs.sparkSession, "rules")
-    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = base(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("_host")))
 
     def line(x: Column) -> Column:
@@ -101,37 +98,33 @@ def judge(
         gaps = F.length(norm) - F.length(F.translate(norm, " ", ""))
         return F.struct(F.xxhash64(F.lit(3), norm).alias("h"), (gaps + 1).alias("w"))
 
+    hashed = F.sort_array(F.transform("_lines", line))  # equal lines of a document stand together
     rows = rows.select(
         F.monotonically_increasing_id().alias("_row"),
         "doc_id",
         F.coalesce(F.concat(F.lit("="), F.col("_host").cast("string")), F.lit("null")).alias("_host"),
-        F.xxhash64(F.lit(3), text).alias("_text"),
         "n_words",
         "word_chars",
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        F.transform("_lines", line).alias("_lines"),
+        hashed.alias("_lines"),
     )
     rows = ws.save(rows, "rows")
-    lines = rows.select("_row", "_host", "_text", F.explode("_lines").alias("_line")).select(
-        "_row", "_host", "_text", F.col("_line.h").alias("_h"), F.col("_line.w").alias("_w")
-    )
-    hosts = rows.select("_host", "_text").distinct().groupBy("_host").agg(F.count("*").alias("_all"))
-    counts = (
-        lines.groupBy("_host", "_h", "_text")  # spreads a hot line's rows by text, and merges copies before they move
-        .agg(F.count("*").alias("_n"))
-        .groupBy("_host", "_h")
-        .agg(F.count("*").alias("_texts"), F.sum("_n").alias("_n"))
-        .filter(F.col("_texts") > min_docs)
+    lines = rows.select("_row", "_host", F.inline("_lines").alias("_h", "_w"))
+    first = F.transform(
+        "_lines", lambda x, k: F.struct(x["h"].alias("_h"), ((k == 0) | (F.get("_lines", k - 1)["h"] != x["h"])).cast("int").alias("_new"))
     )
-    often = counts.join(hosts, "_host").filter(F.col("_texts") > F.col("_all") * F.lit(share)).select("_host", "_h", "_n")
-    often = ws.save(often, "often")
+    counts = rows.select("_host", F.inline(first)).groupBy("_host", "_h")
+    counts = counts.agg(F.sum("_new").alias("_docs"), F.count("*").alias("_n")).filter(F.col("_docs") > min_docs)
+    hosts = rows.groupBy("_host").agg(F.count("*").alias("_all"), F.sum(F.size("_lines")).alias("_of"))
     total = rows.agg(F.sum(F.size("_lines"))).first()[0] or 0
+    often = even_join(counts, hosts, ["_host"], "_of", total).filter(F.col("_docs") > F.col("_all") * F.lit(share))
+    often = ws.save(often.select("_host", "_h", "_n"), "often")
     lost = even_join(lines, often, ["_host", "_h"], "_n", total).groupBy("_row").agg(F.sum("_w").alias("_lost"))
     return (
-        rows.drop("_lines", "_host", "_text")
+        rows.drop("_lines", "_host")
         .join(lost, "_row", "left")
         .withColumn("boilerplate_words", F.coalesce(F.col("_lost"), F.lit(0)).cast("long"))
         .withColumn(
