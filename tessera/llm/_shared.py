@@ -6,10 +6,11 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with at least 1/HEAVY of all rows is heavy; so there are at most HEAVY such keys,
@@ -22,8 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
-    if not base:  # tests and single machines only
-        base = os.path.join(tempfile.gettempdir(), "tessera-shared")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        base = os.path.join(tempfile.gettempdir(), "tessera-shared")  # one process: tests and single machines
         spark.sparkContext.setCheckpointDir(base)
     return str(base).rstrip("/")
 
@@ -100,6 +103,25 @@ def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def text_udf(
+    spark: SparkSession, function: Callable[[pa.LargeStringArray], pa.Array], kind: str, text: Column, limit: int = 4 << 20
+) -> Column:
+    """The column that ``function`` makes of whole texts (null: empty), a slice of about ``limit`` bytes at a time.
+
+    Only the text goes to Python and only the result comes back; other columns stay in the JVM.
+    """
+    ship(spark)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from tessera.llm._words import slices, text_column
+
+        for batch in batches:
+            parts = [function(text_column(p)) for p in slices(pa.RecordBatch.from_arrays([batch], ["text"]), limit)]
+            yield pa.concat_arrays(parts) if parts else function(pa.array([], pa.large_string()))
+
+    return F.arrow_udf(run, kind)(text)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -9,13 +9,13 @@ if the Jaccard similarity is 0.8 or more.
 3. Candidates are compared 16 values at a time.  With a uniform prior, the posterior probability
    that the similarity reaches the threshold, after m of n equal values, is P(Bin(n + 1, t) <= m);
    pairs for which it falls below ``tolerance`` are dropped.
-4. Components of what is left bring each text once to the task that verifies it.  There all pairs
-   of a component are pruned in the same way, and the rest is verified exactly on whole sets.
+4. A pair belongs to the first band that both agree in.  A bucket passes on its texts that have a
+   pair of their own left, and the task that takes them verifies these pairs exactly on whole sets.
 
-No pair is ever a row.  Buckets and components of any size are cut into blocks, every pair of
-blocks is a task's work, and a task returns one row for each of its texts: a link of a spanning
-forest, and its number of links.  So a hot group is spread over many tasks, and rows grow with
-documents, not with pairs.
+No pair is ever a row.  Buckets of any size are cut into blocks, every pair of blocks is a task's
+work, and a task returns one row for each of its texts: a link of a spanning forest, and its number
+of links.  So a hot group is spread over many tasks, rows grow with documents, not with pairs, and
+only candidates are compared: texts that are chained, but share no band, never meet.
 
 Result: one row for each document with class_id, the smallest doc_id of its component of links,
 and n_links, the number of other documents that it is linked to (copies count).  Defined results:
@@ -33,9 +33,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm._shared import Workspace, even_join, map_arrow
+from tessera.llm._shared import Workspace, even_join, map_arrow, text_udf
 from tessera.llm._words import Words, mix, segment_sum, slices, text_column
 from tessera.llm.components import components
 
@@ -43,9 +42,9 @@ N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 HASHES = BANDS * ROWS
 STEP = 16
-TOLERANCE = 1e-4
+TOLERANCE = 1e-6
 #: Texts, and n-grams, of a block; and pairs that a task holds at once.
-BUCKET_BLOCK, VERIFY_BLOCK, VERIFY_GRAMS = 1024, 512, 1 << 21
+BUCKET_BLOCK, BLOCK_GRAMS = 1024, 1 << 20
 PAIRS = 1 << 19
 NO_ID = -(2**63)
 
@@ -230,29 +229,29 @@ def _group_sizes(t: pa.Table) -> np.ndarray:
     return np.diff(np.append(np.flatnonzero(new), len(new)))
 
 
-def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket, a spanning forest of the pairs that survive pruning."""
+def _own_pairs(t: pa.Table, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the rows of each bucket (or pair of its blocks) that survive pruning and that no
+    earlier band has."""
+    band = t.column("_band").to_numpy()
+    for a, b in _pairs_of(t, _group_sizes(t)):
+        for s in range(0, len(a), 1 << 16):
+            x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
+            alive = prune(sig, x, y)
+            x, y = x[alive], y[alive]
+            for k in range(int(band.max())):
+                early = slice(k * ROWS, (k + 1) * ROWS)
+                first = (band[x] <= k) | (sig[x, early] != sig[y, early]).any(axis=1)
+                x, y = x[first], y[first]
+            yield x, y
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each bucket that have a pair of their own."""
     for t in _groups(batches, 4096):
-        sig, node, band = _signature_array(t), t.column("_node").to_numpy(), t.column("_band").to_numpy()
-        left, right = [], []
-        for a, b in _pairs_of(t, _group_sizes(t)):
-            for s in range(0, len(a), 1 << 16):
-                x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
-                alive = prune(sig, x, y)
-                x, y = x[alive], y[alive]
-                # A pair that an earlier band has too is left to it.
-                equal = (sig[x] == sig[y]).reshape(len(x), BANDS, ROWS).all(axis=2)
-                first = equal.argmax(axis=1) == band[x] if len(x) else np.empty(0, bool)
-                left.append(x[first])
-                right.append(y[first])
-        a = np.concatenate(left) if left else np.empty(0, np.int64)
-        b = np.concatenate(right) if right else np.empty(0, np.int64)
-        used = np.unique(np.concatenate([a, b]))
-        if len(used):
-            root = forest(node[used], np.searchsorted(used, a), np.searchsorted(used, b))
-            out = np.unique(np.column_stack([node[used], root]), axis=0)
-            out = out[out[:, 0] != out[:, 1]]
-            yield pa.RecordBatch.from_pydict({"u": out[:, 0], "v": out[:, 1]})
+        used = np.zeros(t.num_rows, bool)
+        for x, y in _own_pairs(t, _signature_array(t)):
+            used[x] = used[y] = True
+        yield from t.filter(pa.array(used)).to_batches()
 
 
 def exact(h: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -277,11 +276,8 @@ def exact(h: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
 
 
 def _verified_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text of a component (or pair of its blocks): node, root there, copies linked."""
+    """Of each text of a bucket (or pair of its blocks): node, root there, copies linked."""
     for t in _groups(batches, 256):
-        k = [t.column(c).to_numpy() for c in ("_g", "_i", "_j", "_node")]
-        once = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in k]))
-        t = t.filter(pa.array(once))  # repeated rows
         sig, node, copies = _signature_array(t), t.column("_node").to_numpy(), t.column("_copies").to_numpy()
         part = pa.RecordBatch.from_pydict({"text": t.column("text").combine_chunks()})
         h, bounds = grams(Words(text_column(part)))
@@ -292,18 +288,13 @@ def _verified_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         bounds = np.searchsorted(row, np.arange(t.num_rows + 1))
         left, right = [], []
         links = np.zeros(t.num_rows, np.int64)
-        for a, b in _pairs_of(t, _group_sizes(t)):
-            for s in range(0, len(a), 1 << 16):
-                x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
-                x, y = x[node[x] != node[y]], y[node[x] != node[y]]
-                alive = prune(sig, x, y)
-                x, y = x[alive], y[alive]
-                good = exact(local, bounds, x, y)
-                x, y = x[good], y[good]
-                np.add.at(links, x, copies[y])
-                np.add.at(links, y, copies[x])
-                left.append(x)
-                right.append(y)
+        for x, y in _own_pairs(t, sig):
+            good = exact(local, bounds, x, y)
+            x, y = x[good], y[good]
+            np.add.at(links, x, copies[y])
+            np.add.at(links, y, copies[x])
+            left.append(x)
+            right.append(y)
         a = np.concatenate(left) if left else np.empty(0, np.int64)
         b = np.concatenate(right) if right else np.empty(0, np.int64)
         yield pa.RecordBatch.from_pydict({"u": node, "v": forest(node, a, b), "links": links})
@@ -323,29 +314,28 @@ def _classes(ws: Workspace, docs: DataFrame, id_col: str, text_col: str) -> tupl
     texts = signed.filter("_n > 0").groupBy("_s1", "_s2")
     texts = texts.agg(F.coalesce(F.min(_known("_id")), F.lit(NO_ID)).alias("_rep"), F.count("*").alias("_copies"))
     texts = ws.save(texts.withColumn("_node", F.monotonically_increasing_id()), "texts")
-    reps = signed.join(texts.withColumnRenamed("_rep", "_id"), ["_id", "_s1", "_s2"]).dropDuplicates(["_node"])
+    of_text = texts.withColumnRenamed("_rep", "_id")
+    reps = even_join(signed, of_text, ["_id", "_s1", "_s2"], "_copies", signed.count())
+    reps = reps.groupBy("_node").agg(*[F.min(c).alias(c) for c in ("_id", "_t", "_n", "_copies", "_sig")], F.count("*").alias("_same"))
     reps = ws.save(reps, "reps")
 
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("_sig", 1 + b * ROWS * 4, ROWS * 4)) for b in range(BANDS)])
-    bands = reps.select("_node", F.posexplode(keys).alias("_band", "_key"))
-    buckets = bands.groupBy("_key").agg(F.count("*").alias("_size")).filter("_size > 1")
-    buckets = ws.save(buckets, "buckets")
+    bands = reps.select("_node", "_n", F.posexplode(keys).alias("_band", "_key"))
+    buckets = bands.groupBy("_key").agg(F.count("*").alias("_size"), F.sum("_n").alias("_grams")).filter("_size > 1")
+    blocks = F.greatest(F.ceil(F.col("_size") / BUCKET_BLOCK), F.ceil(F.col("_grams") / BLOCK_GRAMS))
+    buckets = ws.save(buckets.select("_key", "_size", blocks.alias("_blocks")), "buckets")
     total = reps.count() * BANDS
-    members = even_join(bands, buckets, ["_key"], "_size", total)
-    members = members.withColumn("_blocks", F.ceil(F.col("_size") / BUCKET_BLOCK)).join(reps.select("_node", "_sig"), "_node")
+    members = even_join(bands.drop("_n"), buckets, ["_key"], "_size", total).join(reps.select("_node", "_sig"), "_node")
     members = _split(members, "_blocks", "_key", "_node").select("_g", "_i", "_j", "_b", "_band", "_node", "_sig")
-    edges = map_arrow(_by_group(members), _candidate_edges, "u long, v long")
-    groups = ws.save(components(ws, edges), "groups")
-
-    found = reps.join(groups.withColumnRenamed("node", "_node"), "_node")
-    found = found.select("_node", "_id", "_t", "_n", "_copies", "_sig", "root")
-    sizes = found.groupBy("root").agg(F.count("*").alias("_texts"), F.sum("_n").alias("_grams"))
-    sizes = sizes.withColumn(
-        "_blocks", F.greatest(F.ceil(F.col("_texts") / VERIFY_BLOCK), F.ceil(F.col("_grams") / VERIFY_GRAMS))
-    )
-    found = ws.save(even_join(found, sizes, ["root"], "_texts", groups.count()), "found")
-    split = _split(rows.join(found, ["_id", "_t"]), "_blocks", "root", "_node")
-    split = split.select("_g", "_i", "_j", "_b", "_node", "_copies", "_sig", "text")
+    found = ws.save(map_arrow(_by_group(members), _candidates, members.schema), "candidates")
+
+    # The text of each node that is left, once.
+    needed = found.select("_node").distinct().join(reps.select("_node", "_id", "_t", "_copies", "_same"), "_node")
+    needed = ws.save(needed, "needed")
+    whole = even_join(rows, needed, ["_id", "_t"], "_same", signed.count())
+    if needed.filter("_same > 1").limit(1).count():
+        whole = whole.groupBy("_node").agg(F.first("_copies").alias("_copies"), F.first("text").alias("text"))
+    split = found.join(whole.select("_node", "_copies", "text"), "_node")
     links = ws.save(map_arrow(_by_group(split), _verified_links, "u long, v long, links long"), "links")
     linked = components(ws, links.select("u", "v"))
     by_node = links.groupBy(F.col("u").alias("_node")).agg(F.sum("links").alias("_links"))
@@ -386,20 +376,19 @@ def _by_group(members: DataFrame) -> DataFrame:
 def _marked(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with _tsr_s1, _tsr_s2 and _tsr_words (if its text has a word)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                words = Words(text_column(part, text_col))
-                s1, s2 = sequence_hash(words)
-                more = [pa.array(s1), pa.array(s2), pa.array(np.diff(words.bounds) > 0)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "_tsr_s1", "_tsr_s2", "_tsr_words"])
+    def run(col: pa.LargeStringArray) -> pa.Array:
+        words = Words(col)
+        s1, s2 = sequence_hash(words)
+        return pa.StructArray.from_arrays([pa.array(s1), pa.array(s2), pa.array(np.diff(words.bounds) > 0)], ["s1", "s2", "words"])
 
-    kind = T.StructType([*docs.schema.fields])
-    return map_arrow(docs, run, kind.add("_tsr_s1", "long").add("_tsr_s2", "long").add("_tsr_words", "boolean"))
+    mark = text_udf(docs.sparkSession, run, "s1 long, s2 long, words boolean", F.col(text_col))
+    rows = docs.withColumn("_tsr_mark", mark)
+    return rows.select(*docs.columns, *[F.col(f"_tsr_mark.{c}").alias(f"_tsr_{c}") for c in ("s1", "s2", "words")])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, of its smallest doc_id, and all rows without a word but repeated rows of a doc_id."""
+    """One row of each class: of its smallest doc_id, and of several such rows that with the smallest
+    text.  Rows without a word are linked to nothing and all stay."""
     ws = Workspace(docs.sparkSession, "keep")
     signed, texts = _classes(ws, docs, id_col, text_col)
     # Nulls come last, as a class with a doc_id is named by it.
@@ -412,8 +401,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = _marked(docs, text_col).withColumn("_tsr_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
     kept = even_join(rows.filter("_tsr_words"), best, key, "_tsr_n", signed.count())
     if best.filter("_tsr_n > 1").limit(1).count():
-        kept = kept.dropDuplicates(key)
-    bare = rows.filter("not _tsr_words")
-    named = bare.filter(F.col("_tsr_id") != NO_ID).dropDuplicates(["_tsr_id"])
-    bare = named.unionByName(bare.filter(F.col("_tsr_id") == NO_ID))
-    return kept.select(*docs.columns).unionByName(bare.select(*docs.columns))
+        whole = F.struct(*docs.columns)
+        first = F.min_by(whole, F.struct(F.col(text_col), F.to_json(whole))).alias("_tsr_row")
+        kept = kept.groupBy(*key).agg(first).select("_tsr_row.*")
+    return kept.select(*docs.columns).unionByName(rows.filter("not _tsr_words").select(*docs.columns))

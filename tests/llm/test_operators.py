@@ -8,12 +8,12 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import (
     _fit,
-    decontamination,
     language_id,
     line_dedup,
     near_duplicates,
@@ -87,14 +87,17 @@ def test_boilerplate_depletes(spark):
     assert not any(got[i] for i in range(30)) and all(got[100 + i] for i in range(30))
 
 
-def test_copies_do_not_hide_boilerplate(spark):
-    line = "this line stands in every document of the host"
-    rows = [(i, f"{line}\n{prose(5, i if i < 100 else 100)}", "en", "h", 0, 0, "", 0, 0, "") for i in range(6000)]
-    copied = spark.createDataFrame(rows, SCHEMA)
-    got = quality_rules.judge(copied).select("boilerplate_words").distinct().collect()
-    assert min(r[0] for r in got) >= len(line.split(" "))
-    few = copied.filter("doc_id < 400")
-    check_oracle(few, quality_rules.judge(few), oracles.QUALITY_RULES)
+def test_lines_are_counted_by_documents_of_the_host(spark):
+    line, mine = "this line stands in every document of the host", "this line stands in copies of a document only"
+    rows = [(i, f"{line}\n{prose(5, i)}", "en", "h", 0, 0, "", 0, 0, "") for i in range(200)]
+    rows += [(1000 + i, f"{line}\n{mine}\n{prose(60, 77)}", "en", "h", 0, 0, "", 0, 0, "") for i in range(100)]
+    rows += [(i, f"{mine}\n{prose(60, i)}", "en", "other", 0, 0, "", 0, 0, "") for i in range(2000, 2010)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    n = len(line.split(" "))
+    assert all(got[i].boilerplate_words >= n for i in range(200)) and got[2000].boilerplate_words == 0
+    assert got[1000].boilerplate_words == got[1000].n_words
+    check_oracle(docs, quality_rules.judge(docs), oracles.QUALITY_RULES)
 
 
 def test_sharding(docs, empty):
@@ -116,8 +119,7 @@ def test_sharding_oracle_and_mixture(spark):
 
 
 def test_line_dedup(docs, empty):
-    unique = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    check_oracle(unique, line_dedup.digest(line_dedup.dedup(unique)), oracles.LINE_DEDUP)
+    check_oracle(docs, line_dedup.digest(line_dedup.dedup(docs)), oracles.LINE_DEDUP)
     got = line_dedup.dedup(docs)
     assert got.columns[: len(docs.columns)] == docs.columns and got.count() == docs.count()
     assert got.agg({"n_dropped": "sum"}).first()[0] > 0
@@ -130,10 +132,22 @@ def test_line_runs_are_compacted_and_one_way(spark):
     line = "x" * 50
     for b in range(5):
         batch = spark.createDataFrame([(b, line + "\n" + str(b) * 60, "", "", 0, 0, "", 0, 0, "")], SCHEMA)
-        kept = line_dedup.keep_new(runs, batch, min_docs=2)
-        assert kept.count() == (2 if b < 2 else 1)
+        assert line_dedup.keep_new(runs, batch).count() == (1 if b else 2)
     assert sum(len(x) for x in runs.levels) <= 3
-    assert runs.merged().agg({"n_docs": "max"}).first()[0] == 5
+    assert runs.keepers().count() == 6
+    plan = spark._jvm.PythonSQLUtils.explainString(runs.without(line_dedup.line_keys(batch, 40))._jdf.queryExecution(), "simple")
+    assert plan.count("SortMergeJoin") == sum(len(x) for x in runs.levels) and "Bucketed: true" in plan
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tessera_run")]
+
+
+def test_line_dedup_with_a_hot_line_hot_ids_and_any_number_of_batches(spark):
+    hot, rare = "a line that stands in a third of all rows of the table", "a line that five documents hold, no more and no fewer"
+    rows = [(i if i % 3 else None, f"{hot}\n{hot} \n{prose(9, i)}", "", "", 0, 0, "", 0, 0, "") for i in range(300)]
+    rows += [(1000 + i, f"{prose(20, i)}\n{rare if i < 5 else ''}\n{hot.upper()}", "", "", 0, 0, "", 0, 0, "") for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for n in (1, 2, 7):
+        check_oracle(docs, line_dedup.digest(line_dedup.dedup(docs, batches=n)), oracles.LINE_DEDUP)
 
 
 def ids_of(text):
@@ -230,7 +244,6 @@ def test_near_duplicates(spark, docs, empty, monkeypatch):
     rows = list(enumerate(found))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in near_duplicates.join(df).collect()) == brute_links(rows)
-    monkeypatch.setattr(near_duplicates, "VERIFY_BLOCK", 8)
     monkeypatch.setattr(near_duplicates, "BUCKET_BLOCK", 8)
     assert sorted(tuple(r) for r in near_duplicates.join(df).collect()) == brute_links(rows)
     kept = near_duplicates.keep_one(df)
@@ -258,7 +271,53 @@ def test_near_duplicates_without_ids_or_with_repeated_ids(spark):
     assert got == collections.Counter([*want, (None, None, 0), (None, None, 0), (11, 11, 0), (11, 11, 0)])
     kept = collections.Counter(tuple(r) for r in near_duplicates.keep_one(df).collect())
     want = [*[(None, t) for t in texts[2:6]], (7, texts[1]), (8, " ".join(near)), (9, texts[6]), (9, texts[7])]
-    assert kept == collections.Counter([*want, (None, ""), (None, None), (11, "")])
+    assert kept == collections.Counter([*want, (None, ""), (None, None), (11, ""), (11, "")])
+
+
+def test_near_duplicates_on_all_documents(spark):
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    sets = [shingles(r["text"]) for r in rows]
+    holders = collections.defaultdict(list)
+    for k, x in enumerate(sets):
+        for g in x:
+            holders[g].append(k)
+    links, root = collections.Counter(), list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, x in enumerate(sets):
+        common = collections.Counter(b for g in x for b in holders[g] if b < a)
+        for b, n in common.items():
+            if n >= 0.8 * (len(x) + len(sets[b]) - n):
+                links[a] += 1
+                links[b] += 1
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    least = {}
+    for k, r in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), r["doc_id"]), r["doc_id"])
+    want = sorted((r["doc_id"], least[find(k)], links[k]) for k, r in enumerate(rows))
+    got = near_duplicates.join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_chained_texts_are_compared_with_their_neighbours_only(spark, tmp_path, monkeypatch):
+    # Each text shares most words with the next ones and nothing with those further on.
+    r = random.Random(2)
+    stream = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(3000 * 4 + 120)]
+    rows = [(k, " ".join(stream[4 * k : 4 * k + 120])) for k in range(3000)]
+    compared = []
+    exact = near_duplicates.exact
+    monkeypatch.setattr(near_duplicates, "exact", lambda h, bounds, a, b: compared.append(len(a)) or exact(h, bounds, a, b))
+    local = lambda df, function, schema: spark.createDataFrame(
+        pa.Table.from_batches(function(iter(df.toArrow().to_batches()))).to_pandas(), schema
+    )
+    monkeypatch.setattr(near_duplicates, "map_arrow", local)
+    got = near_duplicates.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({x.class_id for x in got}) == 1 and sum(x.n_links for x in got) == 2 * sum(3000 - d for d in (1, 2, 3))
+    assert sum(compared) < 12 * len(rows)
 
 
 def test_posterior_bound():
@@ -285,67 +344,6 @@ def test_components(spark):
     assert got == want
 
 
-def brute_edit(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
-        row = new
-    return row[-1]
-
-
-def test_edit_distance():
-    r = np.random.default_rng(1)
-    for _ in range(200):
-        a, b = r.integers(0, 4, r.integers(0, 12)).astype(np.uint64), r.integers(0, 4, r.integers(0, 12)).astype(np.uint64)
-        assert decontamination.edit_distance(a, b, 5) == min(brute_edit(list(a), list(b)), 6)
-
-
-def test_decontamination(spark, docs, empty):
-    r = random.Random(9)
-    # Letters only: what the operator strips is tested on its own below.
-    items = [" ".join(r.choice(VOCAB) for _ in range(n)) for n in (6, 12, 20, 30, 45)] * 1 + [None, "", "too short"]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    rows, want = [], set()
-    for d in range(60):
-        words = [r.choice(VOCAB) + "zz" for _ in range(r.randint(0, 200))]
-        if d % 2:
-            k = r.randrange(5)
-            item = items[k].split(" ")
-            for _ in range(r.randint(0, decontamination.edits_of(len(item)) // 2)):
-                item[r.randrange(len(item))] = "edited"
-            at = r.randint(0, len(words))
-            words[at:at] = [f"{w.upper()}," for w in item]
-            want.add((d, k))
-        rows.append((d, " ".join(words)))
-    df = spark.createDataFrame([*rows, (None, None), (77, "")], "doc_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontamination.find(df, bench).collect()}
-    assert got == want
-    assert {(r.doc_id, r.item_id) for r in decontamination.find(df, bench, block=2).collect()} == want
-    assert decontamination.remove(df, bench).count() == len(rows) + 2 - len({d for d, _ in want})
-    assert decontamination.find(docs, bench.limit(0)).count() == 0 and decontamination.find(empty, bench).count() == 0
-
-
-@pytest.mark.parametrize("size", [5, 9, 10, 15, 19, 30])
-def test_decontamination_proposes_windows_with_edits_at_an_items_first_words(size, monkeypatch):
-    # Every item is a candidate, so what is missed the count before the LSH has left out.
-    everything = lambda self, x: np.column_stack([a.ravel() for a in np.mgrid[: len(x), : len(self.words)]])
-    monkeypatch.setattr(decontamination.SizeIndex, "candidates", everything)
-    r = random.Random(size)
-    items = [[f"w{r.randrange(10**6)}" for _ in range(size)] for _ in range(30)]
-    index = decontamination.Benchmark(list(range(30)), [" ".join(x) for x in items])
-    found = 0
-    for k, item in enumerate(items):
-        words = list(item)
-        for e in range(decontamination.edits_of(size)):
-            words[2 * e + 1] = f"edited{e}"
-        text = " ".join([f"before{j}" for j in range(20)] + words + [f"after{j}" for j in range(20)])
-        got = index.search(pa.array([text], pa.large_string()))
-        found += (0, k, 20, size, decontamination.edits_of(size)) in got
-    assert found == len(items)
-
-
 def test_classifiers_on_edges(spark, docs, empty):
     labels = spark.createDataFrame([(i * 3, i % 2, (i + 1) % 2) for i in range(20)] + [(3, None, 1), (None, 1, 1), (3, 0, 1)], "doc_id long, quality int, toxic int")
     for module in (toxicity, quality_gam):
