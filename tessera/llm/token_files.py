@@ -18,7 +18,7 @@ doc_id, and at most ``sample_bytes`` long; the bound is the feature of a diction
 beside the files.
 
 Defined results: a null text counts as empty; each document ends with ``end_id``; null doc_ids
-come first; rows of one doc_id are ordered by text; no rows give no files.
+come first; rows of one doc_id are ordered by the hash of their text; no rows give no files.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,8 @@ HEADER = struct.Struct(">8s32sqqqq")
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("start", "<i8"), ("n", "<i8"), ("at", "<i8"), ("size", "<i8")])
 #: Compressed bytes after which a file is closed.
 FILE_BYTES = 8 << 20
+#: Bytes of the input (as its files or its plan tell) for each range, and ranges at most.
+PART_BYTES, MOST_PARTS = 128 << 20, 200_000
 
 
 def train_dictionary(samples: list[bytes], size: int = 64 << 10) -> bytes:
@@ -95,24 +97,38 @@ class FileBuilder:
 
 
 class TokenFile:
-    """Reads a file's bytes; ``ids(i)`` decompresses document i alone."""
+    """Reads a file by ``read(position, bytes)``: its header and index at first, and then of each
+    document that is asked for its frame alone."""
 
-    def __init__(self, data: bytes, dictionary: bytes):
-        magic, sha, self.range, self.part, self.n_ids, n = HEADER.unpack_from(data)
+    def __init__(self, read: Callable[[int, int], bytes], dictionary: bytes):
+        magic, sha, self.range, self.part, self.n_ids, n = HEADER.unpack(read(0, HEADER.size))
         if magic != MAGIC:
             raise ValueError("not a token file")
         if sha != hashlib.sha256(dictionary).digest():
             raise ValueError("the file was written with another dictionary")
-        self.index = np.frombuffer(data, dtype=INDEX, count=n, offset=HEADER.size)
-        self.frames = memoryview(data)[HEADER.size + self.index.nbytes :]
+        self.index = np.frombuffer(read(HEADER.size, n * INDEX.itemsize), dtype=INDEX)
+        self.read, self.frames = read, HEADER.size + self.index.nbytes
         self.decompress = decompressor(dictionary).decompress
 
+    @classmethod
+    def of_bytes(cls, data: bytes, dictionary: bytes) -> TokenFile:
+        return cls(lambda at, n: data[at : at + n], dictionary)
+
+    @classmethod
+    def open(cls, uri: str, dictionary: bytes) -> TokenFile:
+        """A file in any store that Arrow's file systems know, by ranged reads."""
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        file = store.open_input_file(path)
+        return cls(lambda at, n: file.read_at(n, at), dictionary)
+
     def __len__(self) -> int:
         return len(self.index)
 
     def raw(self, i: int) -> bytes:
         x = self.index[i]
-        return self.decompress(bytes(self.frames[int(x["at"]) : int(x["at"]) + int(x["size"])]))
+        return self.decompress(bytes(self.read(self.frames + int(x["at"]), int(x["size"]))))
 
     def ids(self, i: int) -> np.ndarray:
         return np.frombuffer(self.raw(i), dtype="<u4")
@@ -149,7 +165,7 @@ class TokenStore:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for content in batch.column(0):
-                    f = TokenFile(content.as_py(), dictionary)
+                    f = TokenFile.of_bytes(content.as_py(), dictionary)
                     yield pa.RecordBatch.from_pydict(
                         {
                             "doc_id": pa.array(f.index["doc_id"], pa.int64(), mask=f.index["null"].astype(bool)),
@@ -205,7 +221,7 @@ def write(
         place, part = TaskContext.get().partitionId(), 0
         out = FileBuilder(dictionary, (place, part))
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 4 << 20):
                 ids, starts = with_end(*encoder(vocabulary).encode(text_column(piece)), end_id)
                 for k, doc_id in enumerate(piece.column(0).to_pylist()):
                     out.add(doc_id, ids[starts[k] : starts[k + 1]])
@@ -216,9 +232,13 @@ def write(
         if out.index:
             yield pa.RecordBatch.from_pydict({"file": pa.array([out.done()], pa.binary())})
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-    files = files.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Ranges are cut within a doc_id, by text, and within repeated rows, by the task that read them.
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = max(least, min(-(-size // PART_BYTES), MOST_PARTS))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    files = rows.repartitionByRange(parts, *order, F.spark_partition_id())
+    files = files.sortWithinPartitions(*order, "text")
     _save_files(map_arrow(files, build, "file binary"), f"{root}/files")
     return TokenStore(spark, root)
 
