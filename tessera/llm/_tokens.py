@@ -8,14 +8,16 @@ encodes every distinct unit once, and each text's ids are its units' ids in orde
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
 
 from tessera.llm._words import ragged, raw, strings
 
-#: Units kept from earlier texts.  Two generations of this many bound the memory.
-CACHE_UNITS = 300_000
+#: Units kept from earlier texts: those that a slice has more than once, and no longer ones (a text
+#: without spaces is one unit).  Two generations of this many bound the memory.
+CACHE_UNITS, CACHE_LENGTH = 100_000, 64
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -59,10 +61,10 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
+        self.young: dict[str, bytes] = {}  # ids as unsigned 32-bit integers
+        self.old: dict[str, bytes] = {}
 
-    def _units(self, units: list[str]) -> list[np.ndarray]:
+    def _units(self, units: list[str], times: np.ndarray) -> list[bytes]:
         if len(self.young) > CACHE_UNITS:
             self.old, self.young = self.young, {}
         found = list(map(self.young.get, units))
@@ -76,7 +78,9 @@ class Encoder:
                 self.young[units[i]] = x
         if new:
             for i, e in zip(new, self.tokenizer.encode_batch_fast([units[i] for i in new], add_special_tokens=False)):
-                self.young[units[i]] = found[i] = np.array(e.ids, dtype=np.uint32)
+                found[i] = array("I", e.ids).tobytes()
+                if times[i] > 1 and len(units[i]) <= CACHE_LENGTH:
+                    self.young[units[i]] = found[i]
         return found
 
     def encode(self, col: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,9 +89,9 @@ class Encoder:
         at = cuts(data, ends)
         encoded = strings(data, np.append(at, len(data))).dictionary_encode()
         codes = np.asarray(encoded.indices)
-        ids = self._units(encoded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        ids = self._units(encoded.dictionary.to_pylist(), np.bincount(codes))
+        sizes = np.array(list(map(len, ids)), dtype=np.int64) // 4
+        flat = np.frombuffer(b"".join(ids), dtype=np.uint32)
         n = sizes[codes]
         out = flat[ragged((np.cumsum(sizes) - sizes)[codes], n)]
         starts = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(at, ends)]

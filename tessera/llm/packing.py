@@ -9,6 +9,9 @@ is taken.
 Each partition packs what it reads, as it reads it, without a shuffle, and holds its partially
 filled windows only.  At its end these are closed by pouring the emptiest into the gaps of the
 fullest, cutting where they overflow, which leaves one window with padding in a partition at most.
+Documents that no two of fit into a window (just over half of one) would leave all windows open, so
+the same is done whenever ``MOST_OPEN`` windows are: that bounds the ids held to
+``MOST_OPEN`` * window, and costs cuts but no padding, as the one window left goes on.
 
 Defined results: a null text counts as empty; each document ends with ``end_id``; repeated rows
 are packed each for itself; a null doc_id is kept; no rows give no rows.
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm._shared import map_arrow
 
 WINDOW = 1024
+#: Partially filled windows that a partition holds at most.
+MOST_OPEN = 8192
 #: Windows that one partition may number.
 PER_PARTITION = 1 << 36
 
@@ -61,9 +66,10 @@ class SumOfSquares:
 class Packer:
     """Packs documents into windows; ``rows`` collects the pieces of closed windows."""
 
-    def __init__(self, size: int = WINDOW, first: int = 0):
-        self.size, self.next = size, first
+    def __init__(self, size: int = WINDOW, first: int = 0, most_open: int = MOST_OPEN):
+        self.size, self.next, self.most_open = size, first, most_open
         self.levels = SumOfSquares(size)
+        self.n_open = 0
         #: Level to the partially filled windows there, each a list of pieces (doc, start, ids).
         self.open: dict[int, list[list[tuple]]] = {}
         self.rows: list[tuple] = []
@@ -80,11 +86,15 @@ class Packer:
         n = len(piece[2])
         level = self.levels.place(n)
         window = self.open[level].pop() if level else []
+        self.n_open += not level
         window.append(piece)
         if level + n == self.size:
             self._close(window)
+            self.n_open -= 1
         else:
             self.open.setdefault(level + n, []).append(window)
+            if self.n_open >= self.most_open:
+                self._pour()
 
     def _close(self, window: list[tuple]) -> None:
         offset = 0
@@ -94,9 +104,17 @@ class Packer:
         self.next += 1
 
     def finish(self) -> None:
-        """Pour the emptiest windows into the gaps of the fullest."""
+        """Close all windows."""
+        self._pour()
+        for windows in self.open.values():
+            for w in windows:
+                self._close(w)
+        self.open, self.n_open = {}, 0
+
+    def _pour(self) -> None:
+        """Pour the emptiest windows into the gaps of the fullest; one stays open at most."""
         left = [w for level in sorted(self.open, reverse=True) for w in self.open[level]]
-        self.open, self.levels = {}, SumOfSquares(self.size)
+        self.open, self.levels, self.n_open = {}, SumOfSquares(self.size), 0
         low, high = len(left) - 1, 0
         while high < low:
             gap = self.size - sum(len(p[2]) for p in left[high])
@@ -112,7 +130,9 @@ class Packer:
                 self._close(left[high])
                 high += 1
         if high == low:
-            self._close(left[high])
+            level = sum(len(p[2]) for p in left[high])
+            self.open, self.n_open = {level: [left[high]]}, 1
+            self.levels.count[level] = 1
 
 
 SCHEMA = (
@@ -156,7 +176,7 @@ def pack(
 
         packer = Packer(window, TaskContext.get().partitionId() * PER_PARTITION)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 4 << 20):
                 ids, starts = with_end(*encoder(vocabulary).encode(text_column(part)), end_id)
                 for k, doc_id in enumerate(part.column(0).to_pylist()):
                     packer.add((doc_id, int(starts[k + 1] - starts[k])), ids[starts[k] : starts[k + 1]])
