@@ -48,17 +48,18 @@ WITH RECURSIVE crc AS (
 ), tab AS (
   SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8
 ), d AS (
-  SELECT doc_id, coalesce('=' || source, 'null') AS s, coalesce(text, '') AS x,
-         md5('shuffle-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents
+  SELECT doc_id, coalesce('=' || source, 'null') AS s, coalesce(text, '') AS x FROM documents
 ), m AS (
-  SELECT doc_id, s, h, octet_length(encode(x)) + 16 AS size,
+  SELECT doc_id, s, octet_length(encode(x)) + 16 AS size,
          xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(rtrim(regexp_replace(hex(encode(x)), '(..)', '\1,', 'g'), ','), ','),
            lambda b: CASE WHEN b = '' THEN -1 ELSE ('0x' || b)::BIGINT END)),
            lambda a, b: CASE WHEN b < 0 THEN a ELSE xor(a >> 8, tab.t[xor(a & 255, b) + 1]) END), 4294967295::BIGINT) AS text_crc32
   FROM d, tab
+), i AS (
+  SELECT *, md5('shuffle-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || size || ':' || text_crc32) AS h FROM m
 ), r AS (
   SELECT *, (row_number() OVER (PARTITION BY s ORDER BY h, doc_id, size, text_crc32) - 0.5::DOUBLE)
-            / count(*) OVER (PARTITION BY s) AS place FROM m
+            / count(*) OVER (PARTITION BY s) AS place FROM i
 ), p AS (
   SELECT *, row_number() OVER (ORDER BY place, s, h, doc_id, size, text_crc32) - 1 AS pos, count(*) OVER () AS n FROM r
 ), c AS (
