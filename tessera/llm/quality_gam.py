@@ -253,9 +253,12 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, id_col: str
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     ids = sample_ids(known, lambda label: per_label)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id")
-    found = measure(rows, ["doc_id", "label"]).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    found = measure(rows, ["doc_id", "label"]).toPandas()
     if not len(found):
         return fit(np.zeros((0, len(FEATURES))), np.empty(0))
+    # Of several rows of a doc_id the one with the smallest features.
+    found["x"] = found["x"].map(tuple)
+    found = found.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
     return fit(np.array(found["x"].tolist()), np.minimum(found["label"].to_numpy(), 1).astype(np.float64))
 
 

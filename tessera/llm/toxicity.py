@@ -10,9 +10,10 @@ the windows that the model so far finds worst, and each clean one also those tha
 As everything after the embeddings is linear, scoring needs one number for each n-gram bucket.
 Every whole text is read once, without a shuffle; the model has a fixed size.
 
-The fit uses ``per_toxic`` toxic and twice as many clean documents (a parameter), of equal texts
-one.  Defined results: null and
-empty texts are scored like a window without words; a null doc_id is in no held-out part;
+The fit uses ``per_toxic`` toxic and twice as many clean documents, none longer than ``max_bytes``
+(two parameters), of equal texts one, and of several texts of a doc_id the smallest.  Defined
+results: null and empty texts are scored like a window without words; a null doc_id is in no
+held-out part;
 of several labels of one doc_id the largest holds; repeated rows get equal results; with no label
 value to tell from another every score is the share of toxic labels (0 without labels).
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._fit import fold, sample_ids, sample_rows, sigmoid, symbol_grams
+from tessera.llm._fit import SAMPLE_BYTES, fold, sample_ids, sample_rows, sigmoid, symbol_grams
 from tessera.llm._shared import map_arrow
 from tessera.llm._words import Words, ragged, segment_sum, slices, text_column
 
@@ -166,13 +167,20 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(t[0] / spread), 1e-3), float(t[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_toxic: int = 1200, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    per_toxic: int = 1200,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_bytes: int = SAMPLE_BYTES,
+) -> Model:
     """Fit on labelled documents of the learning folds only."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ids = sample_ids(known, lambda label: per_toxic if label >= 1 else 2 * per_toxic)
-    sample = sample_rows(rows, ids, ["doc_id", "text"])
+    sample = sample_rows(rows, ids, ["doc_id", "text"], max_bytes)
     if not len(sample):
         return fit(pa.array([], pa.large_string()), np.empty(0, np.int64))
     _, first = np.unique(np.asarray(sample.column("text").combine_chunks().dictionary_encode().indices), return_index=True)
