@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._words import mix
 
-#: Longer documents are not in a sample (they are scored like any other).
+#: Default of the operators' ``max_bytes``: longer documents are not in a sample (they are scored like any other).
 SAMPLE_BYTES = 1 << 16
 
 
@@ -46,15 +46,22 @@ def sample_ids(labelled: DataFrame, per_label: Callable[[object], int]) -> DataF
 
 
 def sample_rows(docs: DataFrame, ids: DataFrame, columns: list[str], max_bytes: int = SAMPLE_BYTES) -> pa.Table:
-    """The sampled rows of docs with their label, one for each doc_id, ordered by doc_id."""
+    """The sampled rows of docs with their label, one for each doc_id (its smallest text), ordered by doc_id."""
     found = docs.filter(F.octet_length("text") <= max_bytes).join(F.broadcast(ids), "doc_id").select("label", *columns)
-    rows = found.toArrow().combine_chunks()
-    keys = rows.column("doc_id").to_numpy()
-    _, first = np.unique(keys, return_index=True)
+    rows = found.toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    _, first = np.unique(rows.column("doc_id").to_numpy(), return_index=True)
     return rows.take(pa.array(first))
 
 
-_NO_LETTER = re.compile(r"[^\w\n]|[\d_]")
+_NO_LETTER = re.compile(r"[^a-z]")
+
+
+def letters(word: str) -> str:
+    """The word in lower case with a blank for what is no letter (numerals and marks are none)."""
+    word = word.lower()
+    if word.isascii():
+        return _NO_LETTER.sub(" ", word)
+    return "".join([c if c.isalpha() else " " for c in word])
 
 
 def letter_grams(words: list[str], lengths: range, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +70,7 @@ def letter_grams(words: list[str], lengths: range, buckets: int) -> tuple[np.nda
     Words are in lower case; what is no letter counts as a blank, and an n-gram may have one blank
     at either end, none inside.
     """
-    return _in_parts(words, lengths, buckets, lambda w: _NO_LETTER.sub(" ", w.lower().replace("\n", " ")))
+    return _in_parts(words, lengths, buckets, letters)
 
 
 def symbol_grams(words: list[str], lengths: range, buckets: int) -> tuple[np.ndarray, np.ndarray]:

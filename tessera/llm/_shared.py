@@ -97,27 +97,59 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+#: Bytes of a batch that goes to Python, unless the session sets its own.
+BATCH_BYTES = 8 << 20
+
+
+def _ready(spark: SparkSession) -> None:
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, and idle ones add up."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def _tidied(batches: Iterator) -> Iterator:
+    for batch in batches:
+        yield batch
+        del batch
+        tidy()
+    tidy()
+
+
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     """df.mapInArrow, with this package on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    _ready(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(_tidied(batches))
+
+    return df.mapInArrow(run, schema)
 
 
 def text_udf(
-    spark: SparkSession, function: Callable[[pa.LargeStringArray], pa.Array], kind: str, text: Column, limit: int = 4 << 20
+    spark: SparkSession, function: Callable[[Iterator[pa.LargeStringArray]], pa.Array], kind: str, text: Column, limit: int = 2 << 20
 ) -> Column:
-    """The column that ``function`` makes of whole texts (null: empty), a slice of about ``limit`` bytes at a time.
+    """The column that ``function`` makes of a batch of whole texts (null: empty), which it gets in slices of about ``limit`` bytes.
 
     Only the text goes to Python and only the result comes back; other columns stay in the JVM.
     """
-    ship(spark)
+    _ready(spark)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tessera.llm._words import slices, text_column
 
-        for batch in batches:
-            parts = [function(text_column(p)) for p in slices(pa.RecordBatch.from_arrays([batch], ["text"]), limit)]
-            yield pa.concat_arrays(parts) if parts else function(pa.array([], pa.large_string()))
+        for batch in _tidied(batches):
+            yield function(text_column(p) for p in slices(pa.RecordBatch.from_arrays([batch], ["text"]), limit))
 
     return F.arrow_udf(run, kind)(text)
 

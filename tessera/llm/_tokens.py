@@ -18,6 +18,8 @@ from tessera.llm._words import ragged, raw, strings
 #: Units kept from earlier texts: those that a slice has more than once, and no longer ones (a text
 #: without spaces is one unit).  Two generations of this many bound the memory.
 CACHE_UNITS, CACHE_LENGTH = 100_000, 64
+#: Units that the library encodes at once.
+ENCODED = 4096
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -76,8 +78,9 @@ class Encoder:
                 new.append(i)
             else:
                 self.young[units[i]] = x
-        if new:
-            for i, e in zip(new, self.tokenizer.encode_batch_fast([units[i] for i in new], add_special_tokens=False)):
+        for k in range(0, len(new), ENCODED):  # what the library returns is large
+            part = new[k : k + ENCODED]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([units[i] for i in part], add_special_tokens=False)):
                 found[i] = array("I", e.ids).tobytes()
                 if times[i] > 1 and len(units[i]) <= CACHE_LENGTH:
                     self.young[units[i]] = found[i]

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 #: Text bytes that are worked on at once: bounds a worker's memory whatever a batch holds
 #: (a single longer document is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -84,8 +84,8 @@ class Words:
         self.at = starts  # byte position of each word
         self.ends = ends
         self.bounds = np.searchsorted(starts, ends)
-        kept = np.cumsum(solid)
-        offsets = np.append(kept[starts] - 1, kept[-1] if len(kept) else 0)
+        kept = np.cumsum(solid, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+        offsets = np.append(kept[starts] - 1, kept[-1] if len(kept) else 0).astype(np.int64)
         encoded = strings(data[solid], offsets).dictionary_encode()
         self.codes = np.asarray(encoded.indices)
         self.distinct = encoded.dictionary

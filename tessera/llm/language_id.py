@@ -4,12 +4,16 @@ Features are the frequencies of hashed character n-grams (1 to 3 letters, word e
 their inverse document frequency.  Weights are trained by follow-the-regularised-leader with L1
 and L2 penalties, so most are exactly zero, and a temperature fitted on held-out sample rows
 makes the scores probabilities.  The fit uses a sample of ``per_lang`` documents of each language
-value (a parameter); the model is small and scoring reads every whole text once, without a shuffle.
+value, none longer than ``max_bytes`` (two parameters); the model is small and scoring reads every
+whole text once, without a shuffle.
 
-Scoring adds up each distinct word's weights once for a slice of documents.
+Scoring adds up each distinct word's weights once for a slice of documents, a language at a time, so
+its memory doesn't grow with the languages.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every text
-where nothing was learned; a null doc_id is in no held-out part; repeated rows get equal results.
+where nothing was learned (``keep_identified`` then keeps all rows, as it can't tell any); a null
+doc_id is in no held-out part; repeated rows get equal results; no rows give no rows; other columns,
+whatever their names, are passed through by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._fit import fold, letter_grams, sample_ids, sample_rows
-from tessera.llm._shared import map_arrow
+from tessera.llm._fit import SAMPLE_BYTES, fold, letter_grams, sample_ids, sample_rows
+from tessera.llm._shared import map_arrow, text_udf
 from tessera.llm._words import Words, segment_sum, slices, text_column
 
 BUCKETS = 1 << 15
@@ -31,6 +35,8 @@ LENGTHS = range(1, 4)
 #: Frequencies are multiplied by this; it sets the scale that the penalties are measured on.
 SCALE = 20.0
 FOLDS, HELD_OUT = 3, 1
+#: Text bytes that are scored at once.
+SLICE = 1 << 20
 UNKNOWN = "und"
 
 
@@ -45,8 +51,10 @@ class Model:
         """Calibrated logits of each text, and its number of n-grams (0: no letter)."""
         words = Words(col)
         grams, bounds = letter_grams(words.distinct.to_pylist(), LENGTHS, BUCKETS)
-        by_word = segment_sum(self.weights[grams], bounds)
-        total = segment_sum(by_word[words.codes], words.bounds)
+        total = np.empty((len(col), len(self.langs)))
+        for k in range(len(self.langs)):
+            by_word = segment_sum(self.weights[:, k][grams], bounds)
+            total[:, k] = segment_sum(by_word[words.codes], words.bounds)
         n = segment_sum(np.diff(bounds).astype(np.float64)[words.codes], words.bounds)
         return (total / np.maximum(n, 1)[:, None] + self.bias) / self.temperature, n
 
@@ -121,12 +129,19 @@ def fit(texts: pa.LargeStringArray, labels: list[str]) -> Model | None:
     return model
 
 
-def train(docs: DataFrame, per_lang: int = 800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
-    """Fit on documents of the learning folds only."""
+def train(
+    docs: DataFrame,
+    per_lang: int = 800,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    max_bytes: int = SAMPLE_BYTES,
+) -> Model | None:
+    """Fit on documents of the learning folds only; None if there is nothing to learn from."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("label"))
     known = rows.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
     ids = sample_ids(known.select("doc_id", "label"), lambda lang: per_lang)
-    sample = sample_rows(rows.select("doc_id", "text"), ids, ["doc_id", "text"])
+    sample = sample_rows(rows.select("doc_id", "text"), ids, ["doc_id", "text"], max_bytes)
     if not len(sample):
         return None
     batch = sample.select(["text"]).combine_chunks().to_batches()[0]
@@ -146,7 +161,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         m = shared.value
         names = np.array([*m.langs, UNKNOWN], dtype=object)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 logits, n = m.logits(text_column(part))
                 p = _softmax(logits)
                 best = np.where(n > 0, p.argmax(axis=1), len(m.langs))
@@ -165,23 +180,22 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return map_arrow(rows, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.3, **train_args) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.3, text_col: str = "text", **train_args) -> DataFrame:
     """Rows of docs whose language is identified with at least ``min_score``; all columns stay.
 
     The default rejects texts without a letter and near-ties of all languages, but no text that is
     mostly of one language and holds a passage of another.
     """
-    model = train(docs, **train_args)
-    schema = docs.schema
+    model = train(docs, text_col=text_col, **train_args)
     if model is None:
-        return docs.limit(0)
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                logits, n = shared.value.logits(text_column(part))
-                good = (n > 0) & (_softmax(logits).max(axis=1) >= min_score)
-                yield part.filter(pa.array(good))
+    def known(parts: Iterator[pa.LargeStringArray]) -> pa.Array:
+        good = [np.empty(0, bool)]
+        for col in parts:
+            logits, n = shared.value.logits(col)
+            good.append((n > 0) & (_softmax(logits).max(axis=1) >= min_score))
+        return pa.array(np.concatenate(good))
 
-    return map_arrow(docs, run, schema)
+    return docs.filter(text_udf(docs.sparkSession, known, "boolean", F.col(text_col), SLICE))
