@@ -9,13 +9,14 @@ if the Jaccard similarity is 0.8 or more.
 3. Candidates are compared 16 values at a time.  With a uniform prior, the posterior probability
    that the similarity reaches the threshold, after m of n equal values, is P(Bin(n + 1, t) <= m);
    pairs for which it falls below ``tolerance`` are dropped.
-4. A pair belongs to the first band that both agree in.  A bucket passes on its texts that have a
-   pair of their own left, and the task that takes them verifies these pairs exactly on whole sets.
+4. Components of what is left bring each text once to the task that verifies it exactly, on whole
+   sets.  A component of more than a block would be copied to many tasks; where that takes more rows
+   than its buckets have, its pairs stay with the first band that both texts agree in.
 
-No pair is ever a row.  Buckets of any size are cut into blocks, every pair of blocks is a task's
-work, and a task returns one row for each of its texts: a link of a spanning forest, and its number
-of links.  So a hot group is spread over many tasks, rows grow with documents, not with pairs, and
-only candidates are compared: texts that are chained, but share no band, never meet.
+No pair is ever a row.  Buckets and components of any size are cut into blocks, every pair of blocks
+is a task's work, and a task returns one row for each of its texts: a link of a spanning forest, and
+its number of links.  So a hot group is spread over many tasks, rows grow with documents, not with
+pairs, only candidates are verified, and a text is compared with no more than the rest of its blocks.
 
 Result: one row for each document with class_id, the smallest doc_id of its component of links,
 and n_links, the number of other documents that it is linked to (copies count).  Defined results:
@@ -44,9 +45,11 @@ HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
 #: Texts, and n-grams, of a block; and pairs that a task holds at once.
-BUCKET_BLOCK, BLOCK_GRAMS = 1024, 1 << 20
+BUCKET_BLOCK, BLOCK_GRAMS = 1024, 1 << 19
 PAIRS = 1 << 19
 NO_ID = -(2**63)
+#: The _band of a component's group.
+ALL_BANDS = -1
 
 _MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _PLACES = mix(np.arange(101, 101 + N, dtype=np.uint64)) | np.uint64(1)
@@ -180,12 +183,7 @@ def forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """Whole groups (equal _g, _i, _j) of a sorted stream, at least ``rows`` rows at a time."""
-
-    def same(t: pa.Table) -> np.ndarray:
-        k = [t.column(c).to_numpy() for c in ("_g", "_i", "_j")]
-        return np.logical_and.reduce([x[1:] == x[:-1] for x in k])
-
+    """Whole groups (equal _g, _i, _j) of a sorted stream, about ``rows`` rows, or a group, at a time."""
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -194,11 +192,12 @@ def _groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
         if n < rows:
             continue
         t = pa.Table.from_batches(held)
-        cut = np.flatnonzero(~same(t))
-        if len(cut):
-            k = int(cut[-1]) + 1
-            yield t.slice(0, k)
-            held, n = t.slice(k).to_batches(), t.num_rows - k
+        ends, start = np.cumsum(_group_sizes(t))[:-1], 0  # the last group may go on
+        while len(ends) and ends[-1] >= start + rows:
+            stop = int(ends[np.searchsorted(ends, start + rows)])
+            yield t.slice(start, stop - start)
+            start = stop
+        held, n = t.slice(start).to_batches(), t.num_rows - start
     if n:
         yield pa.Table.from_batches(held)
 
@@ -230,28 +229,33 @@ def _group_sizes(t: pa.Table) -> np.ndarray:
 
 
 def _own_pairs(t: pa.Table, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of the rows of each bucket (or pair of its blocks) that survive pruning and that no
-    earlier band has."""
+    """Candidates among the rows of each group (or pair of its blocks) that survive pruning: those
+    that agree in a band, in a bucket's group only if it is of the first such band."""
     band = t.column("_band").to_numpy()
     for a, b in _pairs_of(t, _group_sizes(t)):
         for s in range(0, len(a), 1 << 16):
             x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
             alive = prune(sig, x, y)
             x, y = x[alive], y[alive]
-            for k in range(int(band.max())):
-                early = slice(k * ROWS, (k + 1) * ROWS)
-                first = (band[x] <= k) | (sig[x, early] != sig[y, early]).any(axis=1)
-                x, y = x[first], y[first]
-            yield x, y
+            equal = (sig[x] == sig[y]).reshape(len(x), BANDS, ROWS).all(axis=2)
+            own = equal.any(axis=1) & ((band[x] == ALL_BANDS) | (equal.argmax(axis=1) == band[x]))
+            yield x[own], y[own]
+
+
+def _joined(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    pairs = [(np.empty(0, np.int64),) * 2, *pairs]
+    return np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each bucket that have a pair of their own."""
+    """The rows of each bucket that have a pair of their own, and their link of a spanning forest."""
     for t in _groups(batches, 4096):
-        used = np.zeros(t.num_rows, bool)
-        for x, y in _own_pairs(t, _signature_array(t)):
-            used[x] = used[y] = True
-        yield from t.filter(pa.array(used)).to_batches()
+        a, b = _joined(_own_pairs(t, _signature_array(t)))
+        used = np.unique(np.concatenate([a, b]))
+        node = t.column("_node").to_numpy()[used]
+        root = forest(node, np.searchsorted(used, a), np.searchsorted(used, b))
+        t = t.drop_columns("_sig").take(pa.array(used)).append_column("_link", pa.array(root, pa.int64()))
+        yield from t.to_batches()
 
 
 def exact(h: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -276,7 +280,7 @@ def exact(h: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
 
 
 def _verified_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text of a bucket (or pair of its blocks): node, root there, copies linked."""
+    """Of each text of a group (or pair of its blocks): node, root there, copies linked."""
     for t in _groups(batches, 256):
         sig, node, copies = _signature_array(t), t.column("_node").to_numpy(), t.column("_copies").to_numpy()
         part = pa.RecordBatch.from_pydict({"text": t.column("text").combine_chunks()})
@@ -286,17 +290,15 @@ def _verified_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         pairs = np.unique(row * (len(h) + 1) + local)
         row, local = pairs // (len(h) + 1), pairs % (len(h) + 1)
         bounds = np.searchsorted(row, np.arange(t.num_rows + 1))
-        left, right = [], []
         links = np.zeros(t.num_rows, np.int64)
+        found = []
         for x, y in _own_pairs(t, sig):
             good = exact(local, bounds, x, y)
             x, y = x[good], y[good]
             np.add.at(links, x, copies[y])
             np.add.at(links, y, copies[x])
-            left.append(x)
-            right.append(y)
-        a = np.concatenate(left) if left else np.empty(0, np.int64)
-        b = np.concatenate(right) if right else np.empty(0, np.int64)
+            found.append((x, y))
+        a, b = _joined(found)
         yield pa.RecordBatch.from_pydict({"u": node, "v": forest(node, a, b), "links": links})
 
 
@@ -327,15 +329,28 @@ def _classes(ws: Workspace, docs: DataFrame, id_col: str, text_col: str) -> tupl
     total = reps.count() * BANDS
     members = even_join(bands.drop("_n"), buckets, ["_key"], "_size", total).join(reps.select("_node", "_sig"), "_node")
     members = _split(members, "_blocks", "_key", "_node").select("_g", "_i", "_j", "_b", "_band", "_node", "_sig")
-    found = ws.save(map_arrow(_by_group(members), _candidates, members.schema), "candidates")
+    kinds = "_g long, _i int, _j int, _b int, _band int, _node long, _link long"
+    found = ws.save(map_arrow(_by_group(members), _candidates, kinds), "candidates")
+    groups = ws.save(components(ws, found.select(F.col("_node").alias("u"), F.col("_link").alias("v"))), "groups")
 
     # The text of each node that is left, once.
-    needed = found.select("_node").distinct().join(reps.select("_node", "_id", "_t", "_copies", "_same"), "_node")
-    needed = ws.save(needed, "needed")
-    whole = even_join(rows, needed, ["_id", "_t"], "_same", signed.count())
+    rows_of = found.groupBy("_node").agg(F.count("*").alias("_rows"))
+    needed = groups.withColumnRenamed("node", "_node").join(rows_of, "_node").join(reps, "_node")
+    needed = ws.save(needed.drop("_s1", "_s2"), "needed")
+    sizes = needed.groupBy("root").agg(F.count("*").alias("_texts"), F.sum("_n").alias("_grams"), F.sum("_rows").alias("_rows_of"))
+    blocks = F.greatest(F.ceil(F.col("_texts") / BUCKET_BLOCK), F.ceil(F.col("_grams") / BLOCK_GRAMS))
+    sizes = ws.save(sizes.select("root", "_texts", "_rows_of", blocks.alias("_blocks")), "sizes")
+    needed = even_join(needed, sizes, ["root"], "_texts", groups.count())
+    whole = (F.col("_blocks") == 1) | (F.col("_texts") * F.col("_blocks") <= F.col("_rows_of"))
+    node_rows = _split(needed.filter(whole).select("_node", "root", "_blocks"), "_blocks", "root", "_node")
+    node_rows = node_rows.select("_g", "_i", "_j", "_b", F.lit(ALL_BANDS).alias("_band"), "_node")
+    chained = needed.filter(~whole).select("_node")
+    split = node_rows.unionByName(found.drop("_link").join(chained, "_node", "left_semi"))
+
+    texts_of = even_join(rows, needed.select("_id", "_t", "_node", "_copies", "_sig", "_same"), ["_id", "_t"], "_same", signed.count())
     if needed.filter("_same > 1").limit(1).count():
-        whole = whole.groupBy("_node").agg(F.first("_copies").alias("_copies"), F.first("text").alias("text"))
-    split = found.join(whole.select("_node", "_copies", "text"), "_node")
+        texts_of = texts_of.groupBy("_node").agg(*[F.first(c).alias(c) for c in ("_copies", "_sig", "text")])
+    split = split.join(texts_of.select("_node", "_copies", "_sig", "text"), "_node")
     links = ws.save(map_arrow(_by_group(split), _verified_links, "u long, v long, links long"), "links")
     linked = components(ws, links.select("u", "v"))
     by_node = links.groupBy(F.col("u").alias("_node")).agg(F.sum("links").alias("_links"))
@@ -376,10 +391,15 @@ def _by_group(members: DataFrame) -> DataFrame:
 def _marked(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with _tsr_s1, _tsr_s2 and _tsr_words (if its text has a word)."""
 
-    def run(col: pa.LargeStringArray) -> pa.Array:
-        words = Words(col)
-        s1, s2 = sequence_hash(words)
-        return pa.StructArray.from_arrays([pa.array(s1), pa.array(s2), pa.array(np.diff(words.bounds) > 0)], ["s1", "s2", "words"])
+    def run(parts: Iterator[pa.LargeStringArray]) -> pa.Array:
+        out = []
+        for col in parts:
+            words = Words(col)
+            out.append((*sequence_hash(words), np.diff(words.bounds) > 0))
+        kinds = (np.int64, np.int64, bool)
+        return pa.StructArray.from_arrays(
+            [pa.array(np.concatenate([np.empty(0, t), *x])) for t, x in zip(kinds, zip(*out) if out else [[]] * 3)], ["s1", "s2", "words"]
+        )
 
     mark = text_udf(docs.sparkSession, run, "s1 long, s2 long, words boolean", F.col(text_col))
     rows = docs.withColumn("_tsr_mark", mark)

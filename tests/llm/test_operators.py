@@ -110,10 +110,13 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def test_sharding_oracle_and_mixture(spark):
+def test_sharding_oracle_and_mixture(spark, monkeypatch):
     rows = [(i, prose(3, i), "", "a" if i % 3 else "b", 0, 0, "", 0, 0, "") for i in range(600)]
+    rows += [rows[7]] * 50 + [(None, f"text {i % 40}", "", "a", 0, 0, "", 0, 0, "") for i in range(400)]
     docs = spark.createDataFrame(rows, SCHEMA)
     check_oracle(docs, sharding.digest(sharding.shard(docs)), oracles.SHARDING)
+    monkeypatch.setattr(sharding, "PART", 8)
+    check_oracle(docs, sharding.digest(sharding.shard(docs)), oracles.SHARDING)
     share = sharding.shard(docs).filter("source = 'b'").groupBy("shard").count().toPandas()["count"]
     assert len(share) == 40 and share.max() - share.min() <= 1
 
@@ -158,19 +161,41 @@ def test_token_files(spark, docs, empty, tmp_path):
     store = token_files.write(docs, root=str(tmp_path / "store"))
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in store.documents().collect())
     at = 0
-    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
-    for r, g in zip(rows, got, strict=True):
+    rows = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    for r, g in zip(sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h)), got, strict=True):
         ids = ids_of(r.text)
         assert g == (at, r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     content = token_files._load_files(spark, f"{tmp_path}/store/files").collect()
-    f = token_files.TokenFile(bytes(max(content, key=lambda c: len(c[0]))[0]), store.dictionary())
+    f = token_files.TokenFile.of_bytes(bytes(max(content, key=lambda c: len(c[0]))[0]), store.dictionary())
     assert len(f.ids(len(f) - 1)) == f.index["n"][-1]
     with pytest.raises(ValueError):
-        token_files.TokenFile(bytes(content[0][0]), b"another dictionary")
+        token_files.TokenFile.of_bytes(bytes(content[0][0]), b"another dictionary")
     assert token_files.write(empty, root=str(tmp_path / "none")).documents().count() == 0
 
 
+def test_a_short_document_is_read_without_the_others(tmp_path):
+    out = token_files.FileBuilder(b"", (0, 0))
+    rows = [np.random.default_rng(k).integers(0, 50_000, 20 if k % 2 else 90_000).astype(np.uint32) for k in range(40)]
+    for k, ids in enumerate(rows):
+        out.add(k, ids)
+    path = tmp_path / "file"
+    path.write_bytes(out.done())
+    f, read = token_files.TokenFile.open(str(path), b""), []
+    source = f.read
+    f.read = lambda at, n: read.append(n) or source(at, n)
+    assert all((f.ids(k) == rows[k]).all() for k in (39, 1, 20))
+    assert read[0] == int(f.index["size"][39]) < 200 and sum(read) < path.stat().st_size / 10
+
+
+def test_token_files_split_a_hot_id(spark, tmp_path):
+    docs = spark.createDataFrame([(None, f"text {k % 700}") for k in range(2000)], "doc_id long, text string").repartition(8)
+    store = token_files.write(docs, root=str(tmp_path / "store"))
+    got = sorted((r.start, r.n_tokens) for r in store.documents().collect())
+    assert got[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:])) and len(got) == 2000
+    assert token_files._load_files(spark, f"{tmp_path}/store/files").count() > 1
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs.coalesce(1), with_ids=True).toPandas()
     by_window = got.sort_values(["sequence_id", "offset"])
@@ -184,6 +209,24 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_open_windows_are_bounded():
+    packer, r = packing.Packer(64, most_open=10), random.Random(1)
+    sizes = [r.randint(33, 50) for _ in range(500)] + [700, 1]
+    for k, n in enumerate(sizes):
+        packer.add((k, n), np.arange(n) + 1000 * k)
+        assert sum(map(len, packer.open.values())) == packer.n_open < 10
+        assert all(packer.levels.count[level] == len(w) for level, w in packer.open.items())
+    packer.finish()
+    pieces, filled = collections.defaultdict(list), collections.Counter()
+    for (k, _), start, ids, window, offset in packer.rows:
+        assert offset == filled[window]
+        filled[window] += len(ids)
+        pieces[k].append((start, list(ids)))
+    assert max(filled.values()) <= 64 and sum(n < 64 for n in filled.values()) <= 1
+    for k, n in enumerate(sizes):
+        assert [x for _, ids in sorted(pieces[k]) for x in ids] == list(range(1000 * k, 1000 * k + n))
+
+
 def test_sum_of_squares_takes_the_best_level():
     r = random.Random(1)
     levels = packing.SumOfSquares(16)
@@ -318,6 +361,11 @@ def test_chained_texts_are_compared_with_their_neighbours_only(spark, tmp_path,
     got = near_duplicates.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len({x.class_id for x in got}) == 1 and sum(x.n_links for x in got) == 2 * sum(3000 - d for d in (1, 2, 3))
     assert sum(compared) < 12 * len(rows)
+    # In small blocks it takes fewer rows to leave the pairs in their buckets.
+    compared.clear()
+    monkeypatch.setattr(near_duplicates, "BUCKET_BLOCK", 64)
+    assert sorted(near_duplicates.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == sorted(got)
+    assert sum(compared) < 12 * len(rows)
 
 
 def test_posterior_bound():
@@ -344,6 +392,15 @@ def test_components(spark):
     assert got == want
 
 
+def test_what_is_no_letter():
+    assert [_fit.letters(w) for w in ("½²Ⅷ٣", "Añ9_B", "x\u0301y")] == ["    ", "añ  b", "x y"]
+
+
+def test_nothing_learned_keeps_all_documents(docs):
+    known = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.keep_identified(known).count() == docs.count()
+
+
 def test_classifiers_on_edges(spark, docs, empty):
     labels = spark.createDataFrame([(i * 3, i % 2, (i + 1) % 2) for i in range(20)] + [(3, None, 1), (None, 1, 1), (3, 0, 1)], "doc_id long, quality int, toxic int")
     for module in (toxicity, quality_gam):
