@@ -23,6 +23,8 @@ class Shell:
         """The answer to a line; errors are answers too."""
         began = time.perf_counter()
         try:
+            if text.upper() in ("EXIT", "QUIT"):
+                text = ".exit"
             out = self.dot(text) if text.startswith(".") else self.show(self.c.execute(text))
         except Exception as e:  # the shell goes on
             return f"Error: {str(e).splitlines()[0]}"
@@ -50,7 +52,9 @@ class Shell:
             return "\n".join(f"{t.name}: " + ", ".join(f"{c.name} {c.type.simpleString()}" for c in t.columns) for t in picked)
         if name == ".indices":
             return "\n".join(f"{i} on {t.name} ({c}){' unique' * u}" for t in picked for i, c, u in t.indexes)
-        return HELP
+        if name == ".help":
+            return HELP
+        raise ValueError(f"unknown command {name}")
 
 
 def main(argv: list[str] | None = None) -> int:

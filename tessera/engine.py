@@ -2,7 +2,9 @@
 
 Every table is a Parquet folder that is never changed.  A statement builds the next content as a
 DataFrame, checks the constraints in one job, writes a new folder and then swaps the reference, so
-it takes effect as a whole or not at all, and lineage never grows.  A transaction collects its new
+it takes effect as a whole or not at all, and lineage never grows.  The swap compares the version that
+the statement began with; a statement outside of a transaction that lost such a race is run again.
+A transaction collects its new
 references and publishes them at COMMIT, unless a table that it wrote was published by another
 one meanwhile (the first to commit wins).
 """
@@ -22,9 +24,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.operators import stats
-from tessera.plans.dialect import SqlError, rewrite, statements, tokens
+from tessera.plans.dialect import SqlError, rewrite, split, statements, tokens
 
 ROW = "_row_id"
+#: How often a statement that loses a race with another connection is run.
+TRIES = 5
 TYPES = {
     "INT": T.LongType(), "INTEGER": T.LongType(), "TEXT": T.StringType(), "VARCHAR": T.StringType(), "STRING": T.StringType(),
     "REAL": T.DoubleType(), "FLOAT": T.DoubleType(), "DOUBLE": T.DoubleType(), "BOOL": T.BooleanType(), "BOOLEAN": T.BooleanType(),
@@ -41,6 +45,10 @@ class ConstraintError(ValueError):
     pass
 
 
+class Conflict(ConstraintError):
+    """Another connection published the table first."""
+
+
 @dataclass(frozen=True)
 class Column:
     name: str
@@ -91,6 +99,8 @@ class Database:
         self.tables: dict[str, Table] = {}
         self.lock = threading.RLock()
         self.next_xid = 1
+        #: What ANALYZE found: of each table its version, rows, width and pages, and its columns' figures.
+        self.statistics: dict[str, dict] = {}
 
     def connect(self) -> Connection:
         return Connection(self)
@@ -101,6 +111,7 @@ class Connection:
         self.db = db
         self.session = db.spark.newSession()
         self.txn: Transaction | None = None
+        self.views: set[str] = set()
 
     # Tables as this connection sees them
 
@@ -123,17 +134,38 @@ class Connection:
             return self.session.createDataFrame([], t.schema)
         return self.session.read.schema(t.schema).parquet(t.path)
 
-    def _views(self) -> None:
-        for name in self.tables():
+    def lookup(self, name: str, row_ids: list[int]) -> DataFrame:
+        """The rows of these row ids."""
+        return self.rows(name).filter(F.col(ROW).isin(*row_ids))
+
+    def clear(self, name: str | None = None) -> None:
+        """Remove all rows of a table, or all tables."""
+        for t in [self.table(name)] if name else list(self.tables().values()):
+            if name:
+                self._store(t, self.rows(name).limit(0), t.next_row)
+            else:
+                self._publish(t.name, None, t)
+
+    def _views(self, sql: str) -> None:
+        """The tables that the text names as views, and no others."""
+        tables, named = self.tables(), {t.strip("`") for t in tokens(sql)}
+        for name in self.views - set(tables):
+            self.session.catalog.dropTempView(name)
+        used = named & set(tables)
+        for name in used:
             self.rows(name).drop(ROW).createOrReplaceTempView(name)
+        self.views = (self.views & set(tables)) | used
 
-    def _publish(self, name: str, t: Table | None) -> None:
+    def _publish(self, name: str, t: Table | None, before: Table | None) -> None:
         if self.txn is not None:
             self.txn.written[name] = t
             return
         with self.db.lock:
+            if self.db.tables.get(name) != before:
+                raise Conflict(f"{name} was changed by another connection")
             if t is None:
                 self.db.tables.pop(name, None)
+                self.db.statistics.pop(name, None)
             else:
                 self.db.tables[name] = t
 
@@ -152,12 +184,18 @@ class Connection:
         }.get(head)
         if method is None:
             raise SqlError(f"unknown statement {head}")
+        for _ in range(TRIES - 1):
+            try:
+                return method(sql)
+            except Conflict:
+                if self.txn is not None:
+                    raise
         return method(sql)
 
     def _select(self, sql: str) -> DataFrame:
         if re.search(r"\bLIMIT\s+-", sql, re.I):
             raise SqlError("LIMIT is negative")
-        self._views()
+        self._views(sql)
         return self.session.sql(rewrite(sql))
 
     def _create(self, sql: str) -> CommandResult:
@@ -172,7 +210,7 @@ class Connection:
                 raise SqlError(f"no column {column}")
             new = replace(t, indexes=(*t.indexes, (name, column, bool(unique))), version=t.version + 1)
             self._check(new, self.rows(table))
-            self._publish(table, new)
+            self._publish(table, new, t)
             return CommandResult(f"index {name} created")
         m = re.match(r"CREATE\s+TABLE\s+(IF\s+NOT\s+EXISTS\s+)?(\w+)\s*\((.*)\)$", sql, re.I | re.S)
         if not m:
@@ -195,7 +233,7 @@ class Connection:
             )
         if len({c.name for c in columns}) < len(columns):
             raise SqlError("a column is named twice")
-        self._publish(m[2], Table(m[2], tuple(columns)))
+        self._publish(m[2], Table(m[2], tuple(columns)), None)
         return CommandResult(f"table {m[2]} created")
 
     def _drop(self, sql: str) -> CommandResult:
@@ -204,11 +242,11 @@ class Connection:
             raise SqlError("DROP is not understood")
         kind, quiet, name = m[1].upper(), m[2], m[3]
         if kind == "TABLE" and name in self.tables():
-            self._publish(name, None)
+            self._publish(name, None, self.table(name))
             return CommandResult(f"table {name} dropped")
         for t in self.tables().values() if kind == "INDEX" else ():
             if name in [i[0] for i in t.indexes]:
-                self._publish(t.name, replace(t, indexes=tuple(i for i in t.indexes if i[0] != name), version=t.version + 1))
+                self._publish(t.name, replace(t, indexes=tuple(i for i in t.indexes if i[0] != name), version=t.version + 1), t)
                 return CommandResult(f"index {name} dropped")
         if quiet:
             return CommandResult(f"no {kind.lower()} {name}")
@@ -226,12 +264,21 @@ class Connection:
             if rows.filter(F.col(c).isNotNull()).groupBy(c).count().filter("count > 1").limit(1).count():
                 raise ConstraintError(f"{t.name}.{c} has a duplicate")
 
-    def _store(self, t: Table, rows: DataFrame, next_row: int) -> None:
+    def _store(self, t: Table, rows: DataFrame, next_row: int, new: bool = False) -> None:
         path = f"{self.db.folder}/{t.name}/{uuid.uuid4().hex}"
         rows.select(*t.schema.names).write.parquet(path)
         written = self.session.read.schema(t.schema).parquet(path)
-        self._check(t, written)
-        self._publish(t.name, replace(t, path=path, version=t.version + 1, next_row=next_row))
+        try:
+            self._check(t, written)
+            self._publish(t.name, replace(t, path=path, version=t.version + 1, next_row=next_row), self.tables().get(t.name) if new else t)
+        except ConstraintError:
+            self._delete_folder(path)
+            raise
+
+    def _delete_folder(self, path: str) -> None:
+        sc = self.session.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
     def _insert(self, sql: str) -> CommandResult:
         m = re.match(r"INSERT\s+INTO\s+(\w+)\s*(?:\(([^()]*)\))?\s*(VALUES\b.*|SELECT\b.*)$", sql, re.I | re.S)
@@ -239,7 +286,7 @@ class Connection:
             raise SqlError("INSERT is not understood")
         t = self.table(m[1])
         names = [c.strip() for c in m[2].split(",")] if m[2] else [c.name for c in t.columns]
-        self._views()
+        self._views(m[3])
         new = self.session.sql(rewrite(m[3] if m[3][:6].upper() == "SELECT" else f"SELECT * FROM {m[3]}"))
         if unknown := set(names) - {c.name for c in t.columns}:
             raise SqlError(f"no column {sorted(unknown)[0]}")
@@ -271,20 +318,23 @@ class Connection:
         inside = F.col("_at") - F.shiftleft(F.col("_p"), 33)
         batch = batch.withColumn(ROW, F.lit(t.next_row) + F.col("_before") + inside).select(*t.schema.names)
         n = batch.count()
-        self._store(t, self.rows(name).unionByName(batch), t.next_row + n)
+        try:
+            self._store(t, self.rows(name).unionByName(batch), t.next_row + n)
+        finally:
+            self._delete_folder(path)
         return CommandResult(f"{n} rows inserted", n)
 
     def _update(self, sql: str) -> CommandResult:
-        m = re.match(r"UPDATE\s+(\w+)\s+SET\s+(.*?)(?:\s+WHERE\s+(.*))?$", sql, re.I | re.S)
-        if not m:
+        head, *rest = split(tokens(sql), "SET")
+        if len(rest) != 1 or len(head) != 2:
             raise SqlError("UPDATE is not understood")
-        t = self.table(m[1])
+        assigned, *where = split(rest[0], "WHERE")
+        t = self.table(head[1])
         kinds = {c.name: c.type for c in t.columns}
-        hit = self._predicate(t, m[3])
+        hit = self._predicate(t, where)
         changes = {}
-        for part in re.split(r",(?=(?:[^']*'[^']*')*[^']*$)(?![^()]*\))", m[2]):
-            name, _, value = part.partition("=")
-            name = name.strip()
+        for name, *value in split(assigned, ","):
+            value = " ".join(value[1:])
             if name not in kinds:
                 raise SqlError(f"no column {name}")
             kind = self.rows(t.name).select(F.expr(rewrite(value)).alias("x")).dtypes[0][1]
@@ -297,30 +347,52 @@ class Connection:
         self._store(t, rows.select(ROW, *[changes.get(c.name, F.col(c.name)).alias(c.name) for c in t.columns]), t.next_row)
         return CommandResult(f"{n} rows updated", n)
 
-    def _predicate(self, t: Table, where: str | None):
-        self._views()
-        return F.coalesce(F.expr(rewrite(where)), F.lit(False)) if where else F.lit(True)
+    def _predicate(self, t: Table, where: list[list[str]]):
+        if len(where) > 1:
+            raise SqlError("two WHEREs")
+        text = " ".join(where[0]) if where else ""
+        self._views(text)
+        return F.coalesce(F.expr(rewrite(text)), F.lit(False)) if where else F.lit(True)
 
     def _delete(self, sql: str) -> CommandResult:
-        m = re.match(r"DELETE\s+FROM\s+(\w+)(?:\s+WHERE\s+(.*))?$", sql, re.I | re.S)
-        if not m:
+        head, *where = split(tokens(sql), "WHERE")
+        if len(head) != 3 or head[1].upper() != "FROM":
             raise SqlError("DELETE is not understood")
-        t = self.table(m[1])
-        rows = self.rows(t.name).withColumn("_hit", self._predicate(t, m[2]))
+        t = self.table(head[2])
+        rows = self.rows(t.name).withColumn("_hit", self._predicate(t, where))
         n = rows.filter("_hit").count()
         self._store(t, rows.filter("NOT _hit").drop("_hit"), t.next_row)
         return CommandResult(f"{n} rows deleted", n)
 
     def _analyze(self, sql: str) -> DataFrame:
+        """Finds and stores a table's statistics, which EXPLAIN shows while they are of its version."""
         m = re.match(r"ANALYZE\s+(?:TABLE\s+)?(\w+)$", sql, re.I)
         if not m:
             raise SqlError("ANALYZE is not understood")
-        return stats.columns(self.rows(m[1]).drop(ROW))
+        t, rows = self.table(m[1]), self.rows(m[1]).drop(ROW)
+        found = stats.columns(rows)
+        figures = {r["column"]: r.asDict() for r in found.collect()}
+        self.db.statistics[t.name] = {"version": t.version, **stats.table(rows).first().asDict(), "columns": figures}
+        return found
+
+    def drop_statistics(self, name: str) -> None:
+        self.db.statistics.pop(name, None)
+
+    def _known(self, sql: str) -> str:
+        """What ANALYZE found of the tables that the text names."""
+        out = []
+        for name in sorted({x.strip("`") for x in tokens(sql)} & set(self.tables())):
+            s = self.db.statistics.get(name)
+            if s:
+                stale = "" if s["version"] == self.table(name).version else ", older than the table"
+                out.append(f"statistics of {name}: {s['n_rows']} rows, {s['pages']} pages{stale}")
+        return "\n".join(out)
 
     def _explain(self, sql: str) -> CommandResult:
         m = re.match(r"EXPLAIN\s+(ANALYZE\s+)?(.*)$", sql, re.I | re.S)
         df = self._select(m[2])
         plan = self.session._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        plan += self._known(m[2])
         if m[1]:
             began = time.perf_counter()
             n = df.count()
@@ -392,5 +464,5 @@ class Connection:
                 for c in x["columns"]
             )
             t = Table(x["name"], columns, indexes=tuple(map(tuple, x["indexes"])))
-            self._store(t, self.session.read.schema(t.schema).json(f"{folder[1]}/{t.name}"), x["next_row"])
+            self._store(t, self.session.read.schema(t.schema).json(f"{folder[1]}/{t.name}"), x["next_row"], new=True)
         return CommandResult(f"{len(manifest)} tables loaded", len(manifest))

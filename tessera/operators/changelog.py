@@ -9,10 +9,19 @@ SCHEMA = "lsn long, xid long, type string, table_name string, row_id long, old_j
 CHANGES = ("INSERT", "UPDATE", "DELETE")
 
 
+def _with_end(log: DataFrame) -> DataFrame:
+    """Changes with _end, how their transaction ended: by its first COMMIT or ABORT after the change
+    (an xid may be used again), null if by none."""
+    ends = log.filter(F.col("type").isin("COMMIT", "ABORT")).groupBy("xid")
+    ends = ends.agg(F.sort_array(F.collect_list(F.struct("lsn", "type"))).alias("_ends"))
+    after = F.filter("_ends", lambda e: e["lsn"] > F.col("lsn"))
+    changes = log.filter(F.col("type").isin(*CHANGES)).join(ends, "xid", "left")
+    return changes.withColumn("_end", F.get(after, 0)["type"]).drop("_ends")
+
+
 def committed(log: DataFrame) -> DataFrame:
-    """Changes of transactions that committed."""
-    done = log.filter(F.col("type") == "COMMIT").select("xid").distinct()
-    return log.filter(F.col("type").isin(*CHANGES)).join(done, "xid", "left_semi")
+    """Changes whose transaction committed after them."""
+    return _with_end(log).filter("_end = 'COMMIT'").drop("_end")
 
 
 def replay(log: DataFrame, upto: int | None = None) -> DataFrame:
@@ -28,9 +37,13 @@ def replay(log: DataFrame, upto: int | None = None) -> DataFrame:
 
 
 def losers(log: DataFrame) -> DataFrame:
-    """Changes to undo, the latest first: of transactions neither committed nor aborted."""
-    ended = log.filter(F.col("type").isin("COMMIT", "ABORT")).select("xid").distinct()
-    return log.filter(F.col("type").isin(*CHANGES)).join(ended, "xid", "left_anti").orderBy(F.desc("lsn"))
+    """Changes to undo, the latest first: of transactions that neither committed nor aborted afterwards."""
+    return _with_end(log).filter("_end IS NULL").drop("_end").orderBy(F.desc("lsn"))
+
+
+def undo(log: DataFrame) -> DataFrame:
+    """The rows as they were before the losers' changes: table_name, row_id, old_json (null: no row)."""
+    return losers(log).groupBy("table_name", "row_id").agg(F.min_by("old_json", "lsn").alias("old_json"))
 
 
 def since_checkpoint(log: DataFrame) -> DataFrame:

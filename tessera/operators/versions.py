@@ -6,7 +6,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 @dataclass(frozen=True)
@@ -31,7 +30,6 @@ def visible(df: DataFrame, s: Snapshot) -> DataFrame:
 
 def vacuum(df: DataFrame, oldest: int, key: str = "_row_id") -> DataFrame:
     """Without versions deleted before the oldest snapshot, except each row's newest."""
-    newest = Window.partitionBy(key).orderBy(F.desc("_xmin"))
-    return df.withColumn("_n", F.row_number().over(newest)).filter(
-        (F.col("_n") == 1) | F.col("_xmax").isNull() | (F.col("_xmax") >= oldest)
-    ).drop("_n")
+    newest = df.groupBy(key).agg(F.max("_xmin").alias("_newest"))
+    dead = (F.col("_xmin") < F.col("_newest")) & F.col("_xmax").isNotNull() & (F.col("_xmax") < oldest)
+    return df.join(newest, key).filter(~dead).select(*df.columns)

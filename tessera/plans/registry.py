@@ -8,12 +8,12 @@ the engine expresses better are functions.
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import semantics
 from tessera.operators import changelog, locks, stats, versions
 from tessera.plans.dialect import rewrite
 from tessera.sources.tables import NAMES, read, views
@@ -87,11 +87,16 @@ _sql(
 )
 
 
-@_query("SELECT p_partkey, upper(p_brand) IN ('TRUE', '1', 'YES') AS a, p_size <> 0 AS b FROM part")
-def cast_bool(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "part").select(
-        "p_partkey", semantics.to_bool(F.col("p_brand")).alias("a"), F.col("p_size").cast("boolean").alias("b")
-    )
+_sql(
+    "cast_bool",
+    "SELECT p_partkey, CAST(p_brand AS BOOL) AS a, CAST(p_size - 1 AS BOOL) AS b, CAST('yes' AS BOOL) AS c, CAST('abc' AS BOOL) AS d, CAST(NULL AS BOOL) AS e FROM part",
+    "SELECT p_partkey, upper(p_brand) IN ('TRUE', '1', 'YES') AS a, p_size <> 1 AS b, TRUE AS c, FALSE AS d, CAST(NULL AS BOOLEAN) AS e FROM part",
+)
+_sql(
+    "div_after_case",
+    "SELECT p_partkey, CASE WHEN p_size > 10 THEN p_size ELSE 1 END / (p_size - 10) AS q, (p_size + 1) % CASE WHEN p_size > 20 THEN 0 ELSE 3 END AS r FROM part",
+    "SELECT p_partkey, CASE WHEN p_size > 10 THEN p_size ELSE 1 END / nullif(p_size - 10, 0) AS q, CASE WHEN p_size <= 20 THEN (p_size + 1) % 3 END AS r FROM part",
+)
 
 
 # Joins
@@ -125,8 +130,7 @@ _sql(
 )
 for _name, _hint in (("broadcast", "BROADCAST(o)"), ("merge", "MERGE(o)"), ("shuffle_hash", "SHUFFLE_HASH(o)"), ("nl", "SHUFFLE_REPLICATE_NL(o)")):
     _text = "SELECT {} c.c_custkey, o.o_orderkey FROM customer AS c JOIN orders AS o ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > 300000"
-    QUERIES[f"join_{_name}"] = lambda spark, folder, t=_text.format(f"/*+ {_hint} */"): views(spark, folder, ["customer", "orders"]).sql(t)
-    ORACLE_SQL[f"join_{_name}"] = _text.format("")
+    _sql(f"join_{_name}", _text.format(f"/*+ {_hint} */"), _text.format(""))
 
 # Aggregates
 _sql("agg_count_star", "SELECT COUNT(*) AS n FROM lineitem")
@@ -153,12 +157,18 @@ _sql("agg_empty_input", "SELECT COUNT(*) AS n, SUM(p_size) AS s, MIN(p_name) AS
 _sql("agg_over_join", "SELECT n.n_name, COUNT(*) AS n, ROUND(SUM(c.c_acctbal), 2) AS s FROM customer AS c JOIN nation AS n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name")
 
 # Order, limit, distinct
-_sql("order_asc", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 50")
-_sql("order_desc_text", "SELECT p_partkey, p_name FROM part ORDER BY p_name DESC, p_partkey LIMIT 50")
-_N = "SELECT n_nationkey, NULLIF(n_regionkey, 1) AS r FROM nation ORDER BY r{}, n_nationkey{} LIMIT 22"
-_sql("order_nulls_last", _N.format("", ""), _N.format(" NULLS LAST", ""))
-_sql("order_desc_nulls_last", _N.format(" DESC", ""), _N.format(" DESC NULLS LAST", ""))
-_sql("order_alias", "SELECT o_orderkey, o_totalprice / 2 AS half FROM orders ORDER BY half DESC, o_orderkey LIMIT 20")
+# The order is shown by a number, as results are compared without it.
+def _ordered(name: str, columns: str, order: str, table: str, oracle_order: str | None = None) -> None:
+    text = "SELECT {0}, ROW_NUMBER() OVER (ORDER BY {1}) AS pos FROM {2} ORDER BY {1}"
+    _sql(name, text.format(columns, order, table), text.format(columns, oracle_order or order, table))
+
+
+_ordered("order_asc", "c_custkey, c_acctbal", "c_acctbal, c_custkey", "customer")
+_ordered("order_desc_text", "p_partkey, p_name", "p_name DESC, p_partkey", "part")
+_N = "(SELECT n_nationkey, NULLIF(n_regionkey, 1) AS r FROM nation) AS n"
+_ordered("order_nulls_last", "n_nationkey, r", "r, n_nationkey", _N, "r NULLS LAST, n_nationkey")
+_ordered("order_desc_nulls_last", "n_nationkey, r", "r DESC, n_nationkey DESC", _N, "r DESC NULLS LAST, n_nationkey DESC")
+_sql("order_alias", "SELECT o_orderkey, o_totalprice / 2 AS half FROM orders ORDER BY half DESC, o_orderkey")
 _sql("limit", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10")
 _sql("offset", "SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 20")
 _sql("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 5")
@@ -186,7 +196,10 @@ _sql("sub_derived_table", "SELECT x.o_custkey, x.n FROM (SELECT o_custkey, COUNT
 def _database(spark: SparkSession, folder: str, table: str, columns: str):
     from tessera.engine import Database
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/tessera-shared"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    base = base or f"{tempfile.gettempdir()}/tessera-shared"  # one process
     c = Database(spark, f"{base.rstrip('/')}/engine").connect()
     c.execute(f"CREATE TABLE t ({columns})")
     source = read(spark, folder, table)
@@ -214,6 +227,7 @@ _dml("dml_insert_select", ["INSERT INTO t SELECT -p_partkey - 1, p_name, p_size,
 _dml("dml_update_where", ["UPDATE t SET p_name = 'big' WHERE p_size > 40"], "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'big' ELSE p_name END AS p_name, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
 _dml("dml_update_expr", ["UPDATE t SET p_retailprice = p_retailprice * 2, p_size = p_size + 1 WHERE p_partkey < 100"], "SELECT p_partkey, p_name, CAST(CASE WHEN p_partkey < 100 THEN p_size + 1 ELSE p_size END AS BIGINT) AS p_size, CASE WHEN p_partkey < 100 THEN p_retailprice * 2 ELSE p_retailprice END AS p_retailprice FROM part")
 _dml("dml_delete_where", ["DELETE FROM t WHERE p_size > 10 OR p_name LIKE 'a%'"], _P + " WHERE NOT (p_size > 10 OR p_name LIKE 'a%')")
+_dml("ddl_drop_recreate", ["DROP TABLE t", "CREATE TABLE t (k INT, v TEXT)", "INSERT INTO t VALUES (1, 'new WHERE SET')", "UPDATE t SET v = 'a, WHERE b' WHERE k = 1"], "SELECT CAST(1 AS BIGINT) AS k, 'a, WHERE b' AS v")
 _dml("txn_rollback", ["BEGIN", "DELETE FROM t WHERE p_size > 10", "ROLLBACK"], _P)
 _dml("txn_commit", ["BEGIN TRANSACTION ISOLATION LEVEL REPEATABLE READ", "DELETE FROM t WHERE p_size > 10", "COMMIT"], _P + " WHERE p_size <= 10")
 
@@ -284,7 +298,8 @@ def _log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query(
-    f"WITH log AS ({_LOG.format('VARCHAR')}), c AS (SELECT * FROM log WHERE type <> 'COMMIT' AND xid IN (SELECT xid FROM log WHERE type = 'COMMIT')), "
+    f"WITH log AS ({_LOG.format('VARCHAR')}), c AS (SELECT l.* FROM (SELECT * FROM log WHERE type <> 'COMMIT') AS l "
+    "ASOF JOIN (SELECT xid, lsn FROM log WHERE type = 'COMMIT') AS e ON l.xid = e.xid AND l.lsn < e.lsn), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY table_name, row_id ORDER BY lsn DESC) AS n FROM c) "
     "SELECT table_name, row_id, new_json FROM r WHERE n = 1 AND type <> 'DELETE'"
 )
@@ -298,8 +313,8 @@ def wal_type_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query(
-    f"WITH log AS ({_LOG.format('VARCHAR')}) SELECT lsn, xid, type FROM log WHERE type <> 'COMMIT' "
-    "AND xid NOT IN (SELECT xid FROM log WHERE type = 'COMMIT')"
+    f"WITH log AS ({_LOG.format('VARCHAR')}), e AS (SELECT xid, max(lsn) AS last FROM log WHERE type = 'COMMIT' GROUP BY xid) "
+    "SELECT l.lsn, l.xid, l.type FROM log AS l LEFT JOIN e ON l.xid = e.xid WHERE l.type <> 'COMMIT' AND (e.last IS NULL OR l.lsn > e.last)"
 )
 def wal_losers(spark: SparkSession, folder: str) -> DataFrame:
     return changelog.losers(_log(spark, folder)).select("lsn", "xid", "type")
