@@ -2,6 +2,7 @@
 
 import json
 import os
+import tempfile
 import time
 
 from tessera.plans import registry
@@ -13,7 +14,7 @@ NAMES = "agg_group_2 agg_count_distinct agg_having join_left join_4way join_mult
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build(f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build(f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tessera-bench-")})
     spark.sparkContext.setLogLevel("ERROR")
     queries = {n: registry.QUERIES[n] for n in NAMES}
     try:
@@ -21,7 +22,7 @@ def main() -> None:
     except ModuleNotFoundError:
         llm = None
     if llm is not None:
-        queries |= {n: llm.QUERIES[n] for n in ("op2_quality_rules", "op5_packing", "op9_sharding", "op10_line_dedup")}
+        queries |= llm.QUERIES
     registry.QUERIES["agg_count_star"](spark, folder).collect()  # start up
     seconds = {}
     for name, query in queries.items():
