@@ -23,12 +23,18 @@ WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 
-def window_hashes(words: Column) -> Column:
-    """A hash of each 3-word window; null for fewer than two windows."""
-    n = F.size(words) - 2
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    pairs = F.zip_with(F.slice(hashed, F.lit(1), n), F.slice(hashed, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
-    return F.when(n >= 2, F.zip_with(pairs, F.slice(hashed, F.lit(3), n), lambda ab, c: F.xxhash64(ab, c)))
+def window_hashes(hashes: str) -> Column:
+    """A hash of each 3-word window, of the column of the words' hashes; null for fewer than two windows."""
+    n = F.size(hashes) - 2
+    windows = F.transform(F.slice(hashes, F.lit(1), n), lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)))
+    return F.when(n >= 2, windows)
+
+
+def without(text: Column, characters: str, put: str = "") -> Column:
+    """The text with each of the characters replaced: by bytes, so much faster than translate()."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(put))
+    return text
 
 
 def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -39,12 +45,11 @@ def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
     place each covers the words that the one before didn't.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    spaced = F.btrim(F.translate(text, "\t\n\x0b\x0c\r", "     "), F.lit(" "))
-    bare = F.translate(text, WHITE, "")
-    words = F.when(F.length(bare) > 0, F.split(spaced, " +")).otherwise(F.array().cast("array<string>"))
+    words = F.array_remove(F.split(without(text, "\t\n\x0b\x0c\r", " "), " "), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
     rows = docs.withColumns({"_words": words, "_lines": lines})
-    rows = rows.withColumn("_windows", window_hashes(F.col("_words")))
+    rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("_windows", window_hashes("_hashes"))
     some = F.size(F.array_distinct("_windows")) < F.size("_windows")
     placed = F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     rows = rows.withColumn("_sorted", F.when(some, F.sort_array(placed)))
@@ -70,12 +75,12 @@ def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(bare).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_symbols": (F.length(text) - F.length(without(text, SYMBOLS))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         }
-    ).drop("_words", "_windows", "_sorted", "_twice")
+    ).drop("_words", "_hashes", "_windows", "_sorted", "_twice")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return rows.withColumn("base_failed", failed)
 
@@ -95,7 +100,7 @@ def judge(
 
     def line(x: Column) -> Column:
         norm = F.lower(F.btrim(F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " "), F.lit(" ")))
-        gaps = F.length(norm) - F.length(F.translate(norm, " ", ""))
+        gaps = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
         return F.struct(F.xxhash64(F.lit(3), norm).alias("h"), (gaps + 1).alias("w"))
 
     hashed = F.sort_array(F.transform("_lines", line))  # equal lines of a document stand together
