@@ -1,7 +1,12 @@
+import pathlib
+import threading
+
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.engine import ConstraintError, Database
-from tessera.operators import locks, stats
+from tessera.functions import semantics
+from tessera.operators import changelog, locks, stats
 from tessera.plans.dialect import SqlError, rewrite, statements
 
 
@@ -128,3 +133,127 @@ def test_locks():
     waits = {1: {2}, 2: {3}, 3: {1}, 4: {1}}
     assert locks.groups(waits) == [{1, 2, 3}] and set(locks.cycle(waits, 1)) == {1, 2, 3} and not locks.cycle(waits, 4)
     assert locks.victim([1, 2, 3], {}) == 3 and locks.victim([1, 2, 3], {2: 5}, "MOST_LOCKS") == 2
+
+
+def test_dropped_and_rolled_back_tables_are_gone(c):
+    c.execute("SELECT * FROM users").collect()
+    c.execute("DROP TABLE users")
+    with pytest.raises(Exception, match="(?i)users"):
+        c.execute("SELECT * FROM users").collect()
+    c.execute("BEGIN")
+    c.execute("CREATE TABLE t (x INT)")
+    assert got(c, "SELECT * FROM t") == []
+    c.execute("ROLLBACK")
+    with pytest.raises(Exception, match="(?i)t"):
+        c.execute("SELECT * FROM t").collect()
+
+
+def test_no_insert_is_lost(db, c):
+    connections = [db.connect() for _ in range(3)]
+    threads = [threading.Thread(target=x.execute, args=(f"INSERT INTO users (id, name) VALUES ({100 + k}, 'n')",)) for k, x in enumerate(connections)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert got(c, "SELECT id FROM users WHERE id >= 100 ORDER BY id") == [(100,), (101,), (102,)]
+    ids = [r[0] for r in c.rows("users").select("_row_id").collect()]
+    assert len(set(ids)) == len(ids)
+
+
+def test_words_in_strings_are_no_keywords(c):
+    c.execute("UPDATE users SET name = 'no WHERE, SET here', age = COALESCE(age, CASE WHEN id = 3 THEN 1 ELSE 2 END) WHERE id = 3 OR name = 'x WHERE y'")
+    assert got(c, "SELECT name, age FROM users WHERE id = 3") == [("no WHERE, SET here", 1)]
+    assert c.execute("DELETE FROM users WHERE name = 'no WHERE, SET here'").count == 1
+    for bad in ("UPDATE users age = 1", "DELETE users", "SELECT CASE WHEN 1 = 1 THEN 2"):
+        with pytest.raises(SqlError):
+            c.execute(bad)
+
+
+def test_hints_casts_and_division_after_case(c):
+    assert "BROADCAST" in rewrite("SELECT /*+ BROADCAST(a) */ 1 FROM a -- x")
+    assert got(c, "SELECT CASE WHEN 1 = 1 THEN 4 END / 0, CAST('abc' AS BOOL), CAST('Yes' AS BOOLEAN), CAST(0 AS BOOL), CAST(2.5 AS BOOL)") == [
+        (None, False, True, False, True)
+    ]
+
+
+def test_a_failed_statement_leaves_no_files(c, db):
+    files = lambda: sorted(p for p in pathlib.Path(db.folder).rglob("part-*"))
+    before = files()
+    with pytest.raises(ConstraintError):
+        c.execute("INSERT INTO users (id, name) VALUES (1, 'again')")
+    assert files() == before
+
+
+def test_clear_lookup_and_statistics(c):
+    assert [r.name for r in c.lookup("users", [0, 99]).collect()] == ["Alice"]
+    c.execute("ANALYZE users")
+    assert "statistics of users: 3 rows" in c.execute("EXPLAIN SELECT * FROM users").message
+    c.clear("users")
+    assert got(c, "SELECT COUNT(*) FROM users") == [(0,)] and "older" in c.execute("EXPLAIN SELECT * FROM users").message
+    c.drop_statistics("users")
+    assert "statistics" not in c.execute("EXPLAIN SELECT * FROM users").message
+    c.clear()
+    assert c.tables() == {}
+
+
+def test_lock_modes_add_up_and_the_policy_chooses_the_victim():
+    m = locks.LockManager(timeout=5)
+    m.acquire("t", 1, "S")
+    m.acquire("t", 1, "IS")
+    assert m.holders("t") == {1: "S"} and not m.acquire("t", 2, "IX", wait="SKIP")
+    m.acquire("t", 1, "IX")
+    assert m.holders("t") == {1: "X"}
+    m.release("t", 1)
+    assert m.holders("t") == {}
+    m = locks.LockManager(timeout=5, policy="OLDEST")
+    m.acquire("a", 1)
+    m.acquire("b", 2)
+    caught = []
+
+    def older():
+        try:
+            m.acquire("b", 1)
+        except locks.Deadlock:
+            caught.append(1)
+            m.release_all(1)
+
+    t = threading.Thread(target=older)
+    t.start()
+    while not m.waiting():
+        pass
+    assert m.acquire("a", 2)
+    t.join()
+    assert caught == [1]
+    assert locks.cycle({k: {k + 1} for k in range(5000)} | {5000: {0}}, 0) and locks.cycle({1: {1}}, 1) == [1]
+
+
+def test_log_is_read_in_its_order(spark):
+    rows = [
+        (1, 7, "COMMIT", None, None, None, None), (2, 7, "INSERT", "t", 1, None, "a"), (3, 8, "UPDATE", "t", 2, "old", "b"),
+        (4, 8, "COMMIT", None, None, None, None), (5, 8, "DELETE", "t", 3, "gone", None), (6, 9, "INSERT", "t", 4, None, "c"),
+        (7, 9, "ABORT", None, None, None, None), (8, 0, "CHECKPOINT", None, None, None, None), (9, 9, "INSERT", "t", 5, None, "d"), (10, 9, "COMMIT", None, None, None, None),
+    ]
+    log = spark.createDataFrame([(*r, None) for r in rows], changelog.SCHEMA)
+    assert sorted((r.row_id, r.new_json) for r in changelog.replay(log).collect()) == [(2, "b"), (5, "d")]
+    assert [r.lsn for r in changelog.losers(log).collect()] == [5, 2]
+    assert {(r.row_id, r.old_json) for r in changelog.undo(log).collect()} == {(3, "gone"), (1, None)}
+    assert [r.lsn for r in changelog.since_checkpoint(log).orderBy("lsn").collect()] == [9, 10]
+
+
+def test_selectivity_and_column_helpers(spark):
+    assert stats.selectivity("<", 25, 0, 100, 10) == 0.25 and stats.selectivity(">", 25, 0, 100, 10) == 0.75
+    assert stats.selectivity("=", 3, 0, 9, 5) == 0.2 and stats.selectivity("=", 3, 0, 9, 5, {3: 0.5}) == 0.5
+    df = spark.createDataFrame([(7, 2), (-7, 3), (7, 0)], "a long, b long")
+    rows = df.select(semantics.div(F.col("a"), F.col("b")), semantics.mod(F.col("a"), F.col("b"))).collect()
+    assert [tuple(r) for r in rows] == [(3.5, 1), (-7 / 3, 2), (None, None)]
+
+
+def test_following_a_log(spark, tmp_path):
+    from tessera.streaming.follow import follow
+
+    seen = []
+    for k in range(2):
+        spark.createDataFrame([(k, 1, "INSERT", "t", k, None, "x", None)], changelog.SCHEMA).write.mode("append").json(f"{tmp_path}/log")
+        query = follow(spark, f"{tmp_path}/log", f"{tmp_path}/checkpoint", lambda df, n: seen.extend(r.lsn for r in df.collect()))
+        query.awaitTermination()
+    assert seen == [0, 1]
