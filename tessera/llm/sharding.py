@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from tessera.llm._shared import Workspace
 
 #: Cells that the hash range of a source (by HEX digits), and the range of places, is counted in.
-HEX = 4
+HEX = 3
 CELLS = 16**HEX
 #: Repeated rows that one task deals out.
 PART = 1 << 16
