@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._fit import SAMPLE_BYTES, fold, letter_grams, sample_ids, sample_rows
-from tessera.llm._shared import map_arrow, text_udf
+from tessera.llm._shared import map_arrow, text_udf, tidy
 from tessera.llm._words import Words, segment_sum, slices, text_column
 
 BUCKETS = 1 << 15
@@ -145,7 +145,9 @@ def train(
     if not len(sample):
         return None
     batch = sample.select(["text"]).combine_chunks().to_batches()[0]
-    return fit(text_column(batch), sample.column("label").to_pylist())
+    model = fit(text_column(batch), sample.column("label").to_pylist())
+    tidy()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

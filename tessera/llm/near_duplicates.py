@@ -9,14 +9,13 @@ if the Jaccard similarity is 0.8 or more.
 3. Candidates are compared 16 values at a time.  With a uniform prior, the posterior probability
    that the similarity reaches the threshold, after m of n equal values, is P(Bin(n + 1, t) <= m);
    pairs for which it falls below ``tolerance`` are dropped.
-4. Components of what is left bring each text once to the task that verifies it exactly, on whole
-   sets.  A component of more than a block would be copied to many tasks; where that takes more rows
-   than its buckets have, its pairs stay with the first band that both texts agree in.
+4. A pair belongs to the first band that both agree in.  A bucket passes on its texts that have a
+   pair of their own left, and the task that takes them verifies these pairs exactly on whole sets.
 
-No pair is ever a row.  Buckets and components of any size are cut into blocks, every pair of blocks
-is a task's work, and a task returns one row for each of its texts: a link of a spanning forest, and
-its number of links.  So a hot group is spread over many tasks, rows grow with documents, not with
-pairs, only candidates are verified, and a text is compared with no more than the rest of its blocks.
+No pair is ever a row.  Buckets of any size are cut into blocks, every pair of blocks is a task's
+work, and a task returns one row for each of its texts: a link of a spanning forest, and its number
+of links.  So a hot group is spread over many tasks, rows grow with documents, not with pairs, and
+only candidates are compared: texts that are chained, but share no band, never meet.
 
 Result: one row for each document with class_id, the smallest doc_id of its component of links,
 and n_links, the number of other documents that it is linked to (copies count).  Defined results:
@@ -48,8 +47,6 @@ TOLERANCE = 1e-6
 BUCKET_BLOCK, BLOCK_GRAMS = 1024, 1 << 19
 PAIRS = 1 << 19
 NO_ID = -(2**63)
-#: The _band of a component's group.
-ALL_BANDS = -1
 
 _MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _PLACES = mix(np.arange(101, 101 + N, dtype=np.uint64)) | np.uint64(1)
@@ -229,8 +226,8 @@ def _group_sizes(t: pa.Table) -> np.ndarray:
 
 
 def _own_pairs(t: pa.Table, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates among the rows of each group (or pair of its blocks) that survive pruning: those
-    that agree in a band, in a bucket's group only if it is of the first such band."""
+    """Pairs of the rows of each bucket (or pair of its blocks) that survive pruning and agree in no
+    earlier band."""
     band = t.column("_band").to_numpy()
     for a, b in _pairs_of(t, _group_sizes(t)):
         for s in range(0, len(a), 1 << 16):
@@ -238,7 +235,7 @@ def _own_pairs(t: pa.Table, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
             alive = prune(sig, x, y)
             x, y = x[alive], y[alive]
             equal = (sig[x] == sig[y]).reshape(len(x), BANDS, ROWS).all(axis=2)
-            own = equal.any(axis=1) & ((band[x] == ALL_BANDS) | (equal.argmax(axis=1) == band[x]))
+            own = equal.argmax(axis=1) == band[x]
             yield x[own], y[own]
 
 
@@ -248,14 +245,12 @@ def _joined(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each bucket that have a pair of their own, and their link of a spanning forest."""
+    """The rows of each bucket that have a pair of their own."""
     for t in _groups(batches, 4096):
-        a, b = _joined(_own_pairs(t, _signature_array(t)))
-        used = np.unique(np.concatenate([a, b]))
-        node = t.column("_node").to_numpy()[used]
-        root = forest(node, np.searchsorted(used, a), np.searchsorted(used, b))
-        t = t.drop_columns("_sig").take(pa.array(used)).append_column("_link", pa.array(root, pa.int64()))
-        yield from t.to_batches()
+        used = np.zeros(t.num_rows, bool)
+        for x, y in _own_pairs(t, _signature_array(t)):
+            used[x] = used[y] = True
+        yield from t.drop_columns("_sig").filter(pa.array(used)).to_batches()
 
 
 def exact(h: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -329,28 +324,16 @@ def _classes(ws: Workspace, docs: DataFrame, id_col: str, text_col: str) -> tupl
     total = reps.count() * BANDS
     members = even_join(bands.drop("_n"), buckets, ["_key"], "_size", total).join(reps.select("_node", "_sig"), "_node")
     members = _split(members, "_blocks", "_key", "_node").select("_g", "_i", "_j", "_b", "_band", "_node", "_sig")
-    kinds = "_g long, _i int, _j int, _b int, _band int, _node long, _link long"
+    kinds = "_g long, _i int, _j int, _b int, _band int, _node long"
     found = ws.save(map_arrow(_by_group(members), _candidates, kinds), "candidates")
-    groups = ws.save(components(ws, found.select(F.col("_node").alias("u"), F.col("_link").alias("v"))), "groups")
 
     # The text of each node that is left, once.
-    rows_of = found.groupBy("_node").agg(F.count("*").alias("_rows"))
-    needed = groups.withColumnRenamed("node", "_node").join(rows_of, "_node").join(reps, "_node")
-    needed = ws.save(needed.drop("_s1", "_s2"), "needed")
-    sizes = needed.groupBy("root").agg(F.count("*").alias("_texts"), F.sum("_n").alias("_grams"), F.sum("_rows").alias("_rows_of"))
-    blocks = F.greatest(F.ceil(F.col("_texts") / BUCKET_BLOCK), F.ceil(F.col("_grams") / BLOCK_GRAMS))
-    sizes = ws.save(sizes.select("root", "_texts", "_rows_of", blocks.alias("_blocks")), "sizes")
-    needed = even_join(needed, sizes, ["root"], "_texts", groups.count())
-    whole = (F.col("_blocks") == 1) | (F.col("_texts") * F.col("_blocks") <= F.col("_rows_of"))
-    node_rows = _split(needed.filter(whole).select("_node", "root", "_blocks"), "_blocks", "root", "_node")
-    node_rows = node_rows.select("_g", "_i", "_j", "_b", F.lit(ALL_BANDS).alias("_band"), "_node")
-    chained = needed.filter(~whole).select("_node")
-    split = node_rows.unionByName(found.drop("_link").join(chained, "_node", "left_semi"))
-
-    texts_of = even_join(rows, needed.select("_id", "_t", "_node", "_copies", "_sig", "_same"), ["_id", "_t"], "_same", signed.count())
+    needed = found.select("_node").distinct().join(reps.select("_node", "_id", "_t", "_copies", "_sig", "_same"), "_node")
+    needed = ws.save(needed, "needed")
+    texts_of = even_join(rows, needed, ["_id", "_t"], "_same", signed.count())
     if needed.filter("_same > 1").limit(1).count():
         texts_of = texts_of.groupBy("_node").agg(*[F.first(c).alias(c) for c in ("_copies", "_sig", "text")])
-    split = split.join(texts_of.select("_node", "_copies", "_sig", "text"), "_node")
+    split = found.join(texts_of.select("_node", "_copies", "_sig", "text"), "_node")
     links = ws.save(map_arrow(_by_group(split), _verified_links, "u long, v long, links long"), "links")
     linked = components(ws, links.select("u", "v"))
     by_node = links.groupBy(F.col("u").alias("_node")).agg(F.sum("links").alias("_links"))
