@@ -146,8 +146,10 @@ def dropped_lines(
     runs = LineRuns(docs.sparkSession, ws)
     try:
         for part in _batches(lines, batches):
-            keys = lines.filter(part).groupBy(*KEY).agg(F.max("_id").alias("_id"))
+            # Written, as Catalyst would move the anti-join below the sum, and a key's lines into one task.
+            keys = ws.save(lines.filter(part).groupBy(*KEY).agg(F.max("_id").alias("_id")), "keys")
             runs.add(runs.without(keys).withColumnRenamed("_id", "keeper"))
+            ws.drop(keys)
         is_heavy = F.col("_n") * F.lit(HEAVY) >= F.lit(max(total, 1))
         heavy = F.broadcast(often.filter(is_heavy).select(*KEY))
         hot = runs.keepers().join(heavy, KEY, "left_semi").withColumnRenamed("keeper", "_id")  # at most HEAVY rows

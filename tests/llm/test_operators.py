@@ -144,6 +144,23 @@ def test_line_runs_are_compacted_and_one_way(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("tessera_run")]
 
 
+def test_lines_of_a_key_are_summed_before_they_move(spark, monkeypatch):
+    seen, without = [], line_dedup.LineRuns.without
+
+    def spy(self, rows, kept=False):
+        out = without(self, rows, kept)
+        if not kept:
+            seen.append(spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple"))
+        return out
+
+    monkeypatch.setattr(line_dedup.LineRuns, "without", spy)
+    line = "a line of more than forty characters that is in all rows"
+    docs = spark.createDataFrame([(i, line, "", "", 0, 0, "", 0, 0, "") for i in range(200)], SCHEMA)
+    assert line_dedup.dedup(docs).filter("n_dropped = 0").count() == 1
+    assert len(seen) == 4 and all(plan.count("SortMergeJoin") == k for k, plan in enumerate(seen))
+    assert not any("Aggregate" in plan for plan in seen)
+
+
 def test_line_dedup_with_a_hot_line_hot_ids_and_any_number_of_batches(spark):
     hot, rare = "a line that stands in a third of all rows of the table", "a line that five documents hold, no more and no fewer"
     rows = [(i if i % 3 else None, f"{hot}\n{hot} \n{prose(9, i)}", "", "", 0, 0, "", 0, 0, "") for i in range(300)]
