@@ -31,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import Workspace, even_join, map_arrow, text_udf
+from tessera.llm._shared import Workspace, even_join, map_arrow
 from tessera.llm._words import Words, mix, segment_sum, slices, text_column
 from tessera.llm.components import components
 
@@ -108,8 +108,12 @@ def sequence_hash(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _text_hashes(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit(17), text)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """_id, _t (of the text), _s1, _s2, _n (n-grams) and _sig of each document."""
+    """_id, _t and _t2 (of the text), _s1, _s2, _n (n-grams) and _sig of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,6 +126,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     {
                         "_id": part.column(0),
                         "_t": part.column(2),
+                        "_t2": part.column(3),
                         "_s1": s1,
                         "_s2": s2,
                         "_n": np.diff(bounds),
@@ -129,7 +134,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     }
                 )
 
-    return map_arrow(docs, run, "_id long, _t long, _s1 long, _s2 long, _n long, _sig binary")
+    return map_arrow(docs, run, "_id long, _t long, _t2 long, _s1 long, _s2 long, _n long, _sig binary")
 
 
 def prune(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -306,8 +311,10 @@ def _classes(ws: Workspace, docs: DataFrame, id_col: str, text_col: str) -> tupl
     """_signed() of docs; and of each text with words _s1, _s2, _rep (its smallest id), _copies, _root, _class and _links."""
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    ).withColumn("_t", F.xxhash64("text"))
-    signed = ws.save(_signed(rows), "signed")
+    )
+    t, t2 = _text_hashes(F.col("text"))
+    rows = rows.withColumn("_t", t)
+    signed = ws.save(_signed(rows.withColumn("_t2", t2)), "signed")
     texts = signed.filter("_n > 0").groupBy("_s1", "_s2")
     texts = texts.agg(F.coalesce(F.min(_known("_id")), F.lit(NO_ID)).alias("_rep"), F.count("*").alias("_copies"))
     texts = ws.save(texts.withColumn("_node", F.monotonically_increasing_id()), "texts")
@@ -371,40 +378,30 @@ def _by_group(members: DataFrame) -> DataFrame:
     return members.repartition("_g", "_i", "_j").sortWithinPartitions("_g", "_i", "_j", "_node")
 
 
-def _marked(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with _tsr_s1, _tsr_s2 and _tsr_words (if its text has a word)."""
-
-    def run(parts: Iterator[pa.LargeStringArray]) -> pa.Array:
-        out = []
-        for col in parts:
-            words = Words(col)
-            out.append((*sequence_hash(words), np.diff(words.bounds) > 0))
-        kinds = (np.int64, np.int64, bool)
-        return pa.StructArray.from_arrays(
-            [pa.array(np.concatenate([np.empty(0, t), *x])) for t, x in zip(kinds, zip(*out) if out else [[]] * 3)], ["s1", "s2", "words"]
-        )
-
-    mark = text_udf(docs.sparkSession, run, "s1 long, s2 long, words boolean", F.col(text_col))
-    rows = docs.withColumn("_tsr_mark", mark)
-    return rows.select(*docs.columns, *[F.col(f"_tsr_mark.{c}").alias(f"_tsr_{c}") for c in ("s1", "s2", "words")])
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class: of its smallest doc_id, and of several such rows that with the smallest
-    text.  Rows without a word are linked to nothing and all stay."""
+    text.  Rows without a word are linked to nothing and all stay.
+
+    Rows are told apart by doc_id and the 128 bits of two hashes of the text, so that no text goes to
+    Python again.
+    """
     ws = Workspace(docs.sparkSession, "keep")
     signed, texts = _classes(ws, docs, id_col, text_col)
     # Nulls come last, as a class with a doc_id is named by it.
     best = F.min(F.struct((F.col("_rep") == NO_ID).alias("null"), "_rep", "_s1", "_s2")).alias("b")
     best = texts.groupBy("_root").agg(best).select("b._rep", "b._s1", "b._s2").withColumnRenamed("_rep", "_id")
-    sizes = signed.groupBy("_id", "_s1", "_s2").agg(F.count("*").alias("_tsr_n"), F.max("_n").alias("_n"))
-    best = sizes.filter("_n > 0").join(best, ["_id", "_s1", "_s2"], "left_semi").drop("_n")
+    # An inner join (best has each key once): a semi join would be moved below the count of equal rows.
+    sizes = signed.filter("_n > 0").groupBy("_id", "_s1", "_s2", "_t", "_t2").agg(F.count("*").alias("_tsr_n"))
+    own = {c: f"_tsr{c}" for c in ("_id", "_s1", "_s2", "_t", "_t2")}
+    best = ws.save(sizes.join(best, ["_id", "_s1", "_s2"]).withColumnsRenamed(own), "best")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    t, t2 = _text_hashes(text)
+    rows = docs.withColumns({"_tsr_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tsr_t": t, "_tsr_t2": t2})
+    has_word = text.rlike(r"[^\x20\x09-\x0D]")
+    kept = even_join(rows.filter(has_word), best, ["_tsr_id", "_tsr_t", "_tsr_t2"], "_tsr_n", signed.count())
     key = ["_tsr_id", "_tsr_s1", "_tsr_s2"]
-    best = ws.save(best.select(*[F.col(a).alias(b) for a, b in zip(("_id", "_s1", "_s2"), key)], "_tsr_n"), "best")
-    rows = _marked(docs, text_col).withColumn("_tsr_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    kept = even_join(rows.filter("_tsr_words"), best, key, "_tsr_n", signed.count())
-    if best.filter("_tsr_n > 1").limit(1).count():
+    if best.groupBy(*key).agg(F.sum("_tsr_n").alias("n")).filter("n > 1").limit(1).count():
         whole = F.struct(*docs.columns)
         first = F.min_by(whole, F.struct(F.col(text_col), F.to_json(whole))).alias("_tsr_row")
         kept = kept.groupBy(*key).agg(first).select("_tsr_row.*")
-    return kept.select(*docs.columns).unionByName(rows.filter("not _tsr_words").select(*docs.columns))
+    return kept.select(*docs.columns).unionByName(rows.filter(~has_word).select(*docs.columns))

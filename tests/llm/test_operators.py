@@ -334,6 +334,16 @@ def test_near_duplicates_without_ids_or_with_repeated_ids(spark):
     assert kept == collections.Counter([*want, (None, ""), (None, None), (11, ""), (11, "")])
 
 
+def test_keep_one_of_rows_that_differ_in_white_space_only(spark):
+    text = prose(60, 77)
+    rows = [(5, text + " "), (5, text), (5, text), (6, text), (None, "  " + text), (7, " \t\n"), (7, "\x0b"), (8, "\u00a0")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _t long")
+    kept = near_duplicates.keep_one(df)
+    assert kept.columns == df.columns
+    want = [(5, text), (7, " \t\n"), (7, "\x0b"), (8, "\u00a0")]
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(want)
+
+
 def test_near_duplicates_on_all_documents(spark):
     rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist()
     sets = [shingles(r["text"]) for r in rows]
