@@ -1,12 +1,15 @@
 """A database of declared tables: DDL, DML with constraints, transactions, queries, save and load.
 
-Every table is a Parquet folder that is never changed.  A statement builds the next content as a
-DataFrame, checks the constraints in one job, writes a new folder and then swaps the reference, so
-it takes effect as a whole or not at all, and lineage never grows.  The swap compares the version that
+Every table is a list of Parquet folders that are never changed.  INSERT adds a folder with its rows
+and checks them, against the keys of the others by a semi join; UPDATE and DELETE write the table's
+next content as one folder, and so does an INSERT that finds ``FOLDERS`` of them.  The constraints are
+checked on what was written, and then the reference is swapped, so a statement takes effect as a whole
+or not at all, and lineage never grows.  The swap compares the version that
 the statement began with; a statement outside of a transaction that lost such a race is run again.
 A transaction collects its new
 references and publishes them at COMMIT, unless a table that it wrote was published by another
-one meanwhile (the first to commit wins).
+one meanwhile (the first to commit wins).  With a change log, the changed rows and a COMMIT are
+written to it before the references are swapped.
 """
 
 from __future__ import annotations
@@ -16,19 +19,23 @@ import re
 import threading
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from tessera.operators import stats
+from tessera.operators import costs, stats
+from tessera.operators.changelog import ChangeLog, numbered
+from tessera.operators.transactions import Transactions
 from tessera.plans.dialect import SqlError, rewrite, split, statements, tokens
 
 ROW = "_row_id"
 #: How often a statement that loses a race with another connection is run.
 TRIES = 5
+#: Folders that a table is read from at most.
+FOLDERS = 32
 TYPES = {
     "INT": T.LongType(), "INTEGER": T.LongType(), "TEXT": T.StringType(), "VARCHAR": T.StringType(), "STRING": T.StringType(),
     "REAL": T.DoubleType(), "FLOAT": T.DoubleType(), "DOUBLE": T.DoubleType(), "BOOL": T.BooleanType(), "BOOLEAN": T.BooleanType(),
@@ -63,7 +70,7 @@ class Column:
 class Table:
     name: str
     columns: tuple[Column, ...]
-    path: str | None = None
+    paths: tuple[str, ...] = ()
     version: int = 0
     next_row: int = 0
     indexes: tuple[tuple[str, str, bool], ...] = ()  # name, column, unique
@@ -77,6 +84,22 @@ class Table:
         return [c.name for c in self.columns if c.name in named]
 
 
+#: Makes a statement's records from the folder that it wrote.
+Changes = Callable[[DataFrame], DataFrame]
+
+
+def _changes(t: Table, kind: str, rows: DataFrame, after: list | None = None) -> DataFrame:
+    """A record of the change log for each row; ``after``: the new values of an UPDATE."""
+    none = F.lit(None).cast("string")
+    as_json = lambda columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    own = as_json([F.col(c.name) for c in t.columns])
+    return rows.select(
+        F.lit(kind).alias("type"), F.lit(t.name).alias("table_name"), F.col(ROW).alias("row_id"),
+        (none if kind == "INSERT" else own).alias("old_json"),
+        {"INSERT": own, "DELETE": none}.get(kind, as_json(after) if after else none).alias("new_json"),
+    )
+
+
 @dataclass
 class CommandResult:
     message: str
@@ -89,16 +112,17 @@ class Transaction:
     isolation: str
     base: dict[str, Table]
     written: dict[str, Table | None] = field(default_factory=dict)
+    changes: list[DataFrame] = field(default_factory=list)
 
 
 class Database:
     """Published tables, shared by connections."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, log: ChangeLog | None = None):
+        self.spark, self.folder, self.log = spark, folder, log
         self.tables: dict[str, Table] = {}
         self.lock = threading.RLock()
-        self.next_xid = 1
+        self.transactions = Transactions()
         #: What ANALYZE found: of each table its version, rows, width and pages, and its columns' figures.
         self.statistics: dict[str, dict] = {}
 
@@ -130,9 +154,9 @@ class Connection:
 
     def rows(self, name: str) -> DataFrame:
         t = self.table(name)
-        if t.path is None:
+        if not t.paths:
             return self.session.createDataFrame([], t.schema)
-        return self.session.read.schema(t.schema).parquet(t.path)
+        return self.session.read.schema(t.schema).parquet(*t.paths)
 
     def lookup(self, name: str, row_ids: list[int]) -> DataFrame:
         """The rows of these row ids."""
@@ -142,7 +166,7 @@ class Connection:
         """Remove all rows of a table, or all tables."""
         for t in [self.table(name)] if name else list(self.tables().values()):
             if name:
-                self._store(t, self.rows(name).limit(0), t.next_row)
+                self._store(t, self.rows(name).limit(0), t.next_row, lambda _, rows=self.rows(name): _changes(t, "DELETE", rows))
             else:
                 self._publish(t.name, None, t)
 
@@ -156,13 +180,19 @@ class Connection:
             self.rows(name).drop(ROW).createOrReplaceTempView(name)
         self.views = (self.views & set(tables)) | used
 
-    def _publish(self, name: str, t: Table | None, before: Table | None) -> None:
+    def _publish(self, name: str, t: Table | None, before: Table | None, changes: DataFrame | None = None) -> None:
         if self.txn is not None:
             self.txn.written[name] = t
+            if changes is not None:
+                self.txn.changes.append(changes)
             return
         with self.db.lock:
             if self.db.tables.get(name) != before:
                 raise Conflict(f"{name} was changed by another connection")
+            if changes is not None and self.db.log is not None:
+                xid = self.db.transactions.begin()
+                self.db.log.commit(xid, [changes])
+                self.db.transactions.end(xid, "COMMITTED")
             if t is None:
                 self.db.tables.pop(name, None)
                 self.db.statistics.pop(name, None)
@@ -252,8 +282,8 @@ class Connection:
             return CommandResult(f"no {kind.lower()} {name}")
         raise SqlError(f"no {kind.lower()} {name}")
 
-    def _check(self, t: Table, rows: DataFrame) -> None:
-        """NOT NULL and uniqueness of the whole content; null is never a duplicate."""
+    def _check(self, t: Table, rows: DataFrame, old: DataFrame | None = None) -> None:
+        """NOT NULL and uniqueness of ``rows``, and that no key of theirs is in ``old``; null is never a duplicate."""
         needed = [c.name for c in t.columns if not c.nullable]
         if needed:
             n = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in needed]).first()
@@ -261,16 +291,25 @@ class Connection:
                 if n[c]:
                     raise ConstraintError(f"{t.name}.{c} is null")
         for c in t.unique_columns():
-            if rows.filter(F.col(c).isNotNull()).groupBy(c).count().filter("count > 1").limit(1).count():
+            keys = rows.filter(F.col(c).isNotNull()).groupBy(c).count()
+            if keys.filter("count > 1").limit(1).count() or (
+                old is not None and old.select(c).join(keys, c, "left_semi").limit(1).count()
+            ):
                 raise ConstraintError(f"{t.name}.{c} has a duplicate")
 
-    def _store(self, t: Table, rows: DataFrame, next_row: int, new: bool = False) -> None:
+    def _store(self, t: Table, rows: DataFrame, next_row: int, changes: Changes | None = None, new: bool = False) -> None:
+        """Make ``rows`` the content of the table."""
+        self._write(t, rows, (), next_row, changes, self.tables().get(t.name) if new else t)
+
+    def _write(self, t: Table, rows: DataFrame, kept: tuple[str, ...], next_row: int, changes: Changes | None, before: Table | None) -> None:
+        """Add a folder with ``rows`` to the folders that are kept."""
         path = f"{self.db.folder}/{t.name}/{uuid.uuid4().hex}"
         rows.select(*t.schema.names).write.parquet(path)
-        written = self.session.read.schema(t.schema).parquet(path)
+        read = self.session.read.schema(t.schema)
         try:
-            self._check(t, written)
-            self._publish(t.name, replace(t, path=path, version=t.version + 1, next_row=next_row), self.tables().get(t.name) if new else t)
+            self._check(t, read.parquet(path), read.parquet(*kept) if kept else None)
+            after = replace(t, paths=(*kept, path), version=t.version + 1, next_row=next_row)
+            self._publish(t.name, after, before, changes(read.parquet(path)) if changes and self.db.log is not None else None)
         except ConstraintError:
             self._delete_folder(path)
             raise
@@ -309,17 +348,13 @@ class Connection:
                 raise ConstraintError(f"{name}.{c.name} is {kind}, not {given[c.name]}")
         # Ids are fixed when the batch is written: a dense number for each row.
         path = f"{self.db.folder}/{name}/batch-{uuid.uuid4().hex}"
-        new.select(F.monotonically_increasing_id().alias("_at"), *columns).write.parquet(path)
-        batch = self.session.read.parquet(path)
-        parts = batch.groupBy(F.shiftright("_at", 33).alias("_p")).agg(F.count("*").alias("_n"))
-        before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-        parts = parts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-        batch = batch.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(parts), "_p")  # a row for each task
-        inside = F.col("_at") - F.shiftleft(F.col("_p"), 33)
-        batch = batch.withColumn(ROW, F.lit(t.next_row) + F.col("_before") + inside).select(*t.schema.names)
+        batch = numbered(new.select(*columns), path, ROW, t.next_row)
         n = batch.count()
+        keep = len(t.paths) < FOLDERS
+        rows = batch if keep else self.rows(name).unionByName(batch)
         try:
-            self._store(t, self.rows(name).unionByName(batch), t.next_row + n)
+            fresh = lambda written: _changes(t, "INSERT", written.filter(F.col(ROW) >= t.next_row))
+            self._write(t, rows, t.paths if keep else (), t.next_row + n, fresh, t)
         finally:
             self._delete_folder(path)
         return CommandResult(f"{n} rows inserted", n)
@@ -344,7 +379,8 @@ class Connection:
         rows = self.rows(t.name).withColumn("_hit", hit)
         n = rows.filter("_hit").count()
         # All new values are made from the old row.
-        self._store(t, rows.select(ROW, *[changes.get(c.name, F.col(c.name)).alias(c.name) for c in t.columns]), t.next_row)
+        after = [changes.get(c.name, F.col(c.name)).alias(c.name) for c in t.columns]
+        self._store(t, rows.select(ROW, *after), t.next_row, lambda _: _changes(t, "UPDATE", rows.filter("_hit"), after))
         return CommandResult(f"{n} rows updated", n)
 
     def _predicate(self, t: Table, where: list[list[str]]):
@@ -361,7 +397,7 @@ class Connection:
         t = self.table(head[2])
         rows = self.rows(t.name).withColumn("_hit", self._predicate(t, where))
         n = rows.filter("_hit").count()
-        self._store(t, rows.filter("NOT _hit").drop("_hit"), t.next_row)
+        self._store(t, rows.filter("NOT _hit").drop("_hit"), t.next_row, lambda _: _changes(t, "DELETE", rows.filter("_hit")))
         return CommandResult(f"{n} rows deleted", n)
 
     def _analyze(self, sql: str) -> DataFrame:
@@ -385,7 +421,8 @@ class Connection:
             s = self.db.statistics.get(name)
             if s:
                 stale = "" if s["version"] == self.table(name).version else ", older than the table"
-                out.append(f"statistics of {name}: {s['n_rows']} rows, {s['pages']} pages{stale}")
+                scan = costs.scan(s["n_rows"], s["pages"]).total
+                out.append(f"statistics of {name}: {s['n_rows']} rows, {s['pages']} pages, cost of a scan {scan:.2f}{stale}")
         return "\n".join(out)
 
     def _explain(self, sql: str) -> CommandResult:
@@ -408,7 +445,7 @@ class Connection:
         if self.txn is not None:
             raise SqlError("a transaction is open")
         with self.db.lock:
-            xid, self.db.next_xid = self.db.next_xid, self.db.next_xid + 1
+            xid = self.db.transactions.begin()
             level = " ".join((m[1] or "READ COMMITTED").upper().split())
             self.txn = Transaction(xid, level, dict(self.db.tables))
         return CommandResult(f"transaction {xid} begun")
@@ -420,7 +457,11 @@ class Connection:
         with self.db.lock:
             for name in txn.written:
                 if self.db.tables.get(name) != txn.base.get(name):
+                    self.db.transactions.end(txn.xid, "ABORTED")
                     raise ConstraintError(f"{name} was changed by another transaction")
+            if txn.changes and self.db.log is not None:
+                self.db.log.commit(txn.xid, txn.changes)
+            self.db.transactions.end(txn.xid, "COMMITTED")
             for name, t in txn.written.items():
                 if t is None:
                     self.db.tables.pop(name, None)
@@ -432,6 +473,7 @@ class Connection:
         if self.txn is None:
             raise SqlError("no transaction is open")
         xid, self.txn = self.txn.xid, None
+        self.db.transactions.end(xid, "ABORTED")
         return CommandResult(f"transaction {xid} rolled back")
 
     # Save and load: a folder with each table's rows as JSON lines and a manifest
@@ -464,5 +506,5 @@ class Connection:
                 for c in x["columns"]
             )
             t = Table(x["name"], columns, indexes=tuple(map(tuple, x["indexes"])))
-            self._store(t, self.session.read.schema(t.schema).json(f"{folder[1]}/{t.name}"), x["next_row"], new=True)
+            self._store(t, self.session.read.schema(t.schema).json(f"{folder[1]}/{t.name}"), x["next_row"], lambda rows, t=t: _changes(t, "INSERT", rows), new=True)
         return CommandResult(f"{len(manifest)} tables loaded", len(manifest))

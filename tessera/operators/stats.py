@@ -7,23 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PAGE = 4096
+#: Ranges that a histogram's distinct values are ranked in, and the values that they are found from.
+RANGES, SAMPLE = 64, 4096
 
 
 def columns(df: DataFrame) -> DataFrame:
-    """One row for each column: distinct values, nulls, smallest and largest (as text), in one job."""
-    out = df.select(
-        *[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.col(c).isNull().alias("null")).alias(f"_{i}")
-            for i, c in enumerate(df.columns)
-        ]
-    ).select(F.explode(F.array(*[f"_{i}" for i in range(len(df.columns))])).alias("x"))
-    sizes = out.groupBy("x.column").agg(
-        F.count("*").alias("n_rows"), F.count_distinct("x.value").alias("n_distinct"), F.count_if("x.null").alias("n_null")
-    )
-    edges = df.agg(
-        F.array(*[F.struct(F.lit(c).alias("column"), F.min(c).cast("string").alias("low"), F.max(c).cast("string").alias("high")) for c in df.columns]).alias("x")
-    ).select(F.inline("x"))
-    return sizes.join(edges, "column")
+    """One row for each column: distinct values, nulls, smallest and largest (as text); one scan."""
+    text = lambda c: c.cast("string")
+    figures = [
+        F.struct(
+            F.lit(c).alias("column"), F.count("*").alias("n_rows"), F.count_distinct(c).alias("n_distinct"),
+            F.count_if(F.col(c).isNull()).alias("n_null"), text(F.min(c)).alias("low"), text(F.max(c)).alias("high"),
+        )
+        for c in df.columns
+    ]
+    return df.agg(F.array(*figures).alias("x")).select(F.inline("x"))
 
 
 def table(df: DataFrame) -> DataFrame:
@@ -37,13 +35,24 @@ def table(df: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, column: str, buckets: int = 100) -> DataFrame:
     """Equi-depth buckets over the non-null values: low, high, rows and distinct values.
 
-    Ranks are summed over the distinct values, so equal values stay together and the rows sorted
-    are as many as the distinct values, not the table's.
+    Ranks are summed over the distinct values, so equal values stay together.  The distinct values are
+    cut into ranges of about equal size, at values from a bounded sample (the smallest hashes); a range's
+    offset is the sum of those before it, so no task ranks them all.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy(F.lit(0))
-    ranked = counts.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(total)})
+    sample = sorted(r.v for r in counts.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect())
+    bounds = sample[:: max(1, len(sample) // RANGES)][1:]
+    kind = counts.schema["v"].dataType
+    ranges = sum((F.when(F.col("v") >= F.lit(b).cast(kind), 1).otherwise(0) for b in bounds), F.lit(0))
+    counts = counts.withColumn("range", ranges)
+    sums = counts.groupBy("range").agg(F.sum("n").alias("of_range"))  # a row for each range
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        "range", F.coalesce(F.sum("of_range").over(before(Window.orderBy("range"))), F.lit(0)).alias("offset"),
+        F.sum("of_range").over(Window.partitionBy(F.lit(0))).alias("total"),
+    )
+    inside = F.coalesce(F.sum("n").over(before(Window.partitionBy("range").orderBy("v"))), F.lit(0))
+    ranked = counts.join(F.broadcast(offsets), "range").withColumn("before", F.col("offset") + inside)
     return (
         ranked.withColumn("bucket", F.floor(F.col("before") * buckets / F.col("total")).cast("int"))
         .groupBy("bucket")
@@ -56,11 +65,19 @@ def most_common(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
 
 
-def selectivity(op: str, value: float, low: float, high: float, n_distinct: int, common: dict | None = None) -> float:
-    """Share of rows estimated to satisfy ``column op value``."""
+def selectivity(
+    op: str, value: float, low: float, high: float, n_distinct: int, common: dict | None = None, buckets: list[tuple] | None = None
+) -> float:
+    """Share of rows estimated to satisfy ``column op value``.
+
+    Ranges are summed over a histogram's ``buckets`` (low, high, rows), linear within each; without one
+    they are linear between ``low`` and ``high``.
+    """
     if op == "=":
         return (common or {}).get(value, 1 / n_distinct if n_distinct else 0.1)
-    if op in ("<", "<=", ">", ">=") and high > low:
-        below = min(1.0, max(0.0, (value - low) / (high - low)))
+    buckets = buckets or ([(low, high, 1)] if high > low else [])
+    if op in ("<", "<=", ">", ">=") and buckets:
+        share = lambda a, b: min(1.0, max(0.0, (value - a) / (b - a))) if b > a else float(value > a or (value == a and op in ("<=", ">")))
+        below = sum(n * share(a, b) for a, b, n in buckets) / sum(n for _, _, n in buckets)
         return below if op in ("<", "<=") else 1 - below
     return 0.1

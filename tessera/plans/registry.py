@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -193,14 +194,17 @@ _sql("sub_derived_table", "SELECT x.o_custkey, x.n FROM (SELECT o_custkey, COUNT
 
 
 # Statements: the table that is left
-def _database(spark: SparkSession, folder: str, table: str, columns: str):
-    from tessera.engine import Database
-
+def _shared(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-    base = base or f"{tempfile.gettempdir()}/tessera-shared"  # one process
-    c = Database(spark, f"{base.rstrip('/')}/engine").connect()
+    return (base or f"{tempfile.gettempdir()}/tessera-shared").rstrip("/")  # one process
+
+
+def _database(spark: SparkSession, folder: str, table: str, columns: str, log: changelog.ChangeLog | None = None):
+    from tessera.engine import Database
+
+    c = Database(spark, f"{_shared(spark)}/engine", log).connect()
     c.execute(f"CREATE TABLE t ({columns})")
     source = read(spark, folder, table)
     c.insert("t", source.select(*[w.split()[0] for w in columns.split(", ")]))
@@ -286,6 +290,24 @@ def mvcc_vacuum(spark: SparkSession, folder: str) -> DataFrame:
     return versions.vacuum(rows, 2_000_000)
 
 
+_SEEN = "coalesce(_xmin = 20 OR (_xmin < 25 AND _xmin NOT IN (7, 21)), false) AND NOT coalesce(_xmax = 20 OR (_xmax < 25 AND _xmax NOT IN (7, 21)), false)"
+
+
+@_query(
+    f"SELECT _row_id, _xmin, CASE WHEN {_SEEN} AND _row_id % 3 = 0 THEN 20 ELSE _xmax END AS _xmax FROM {_V} "
+    f"UNION ALL SELECT _row_id, 20, NULL FROM {_V} WHERE {_SEEN} AND _row_id % 3 = 0"
+)
+def mvcc_update(spark: SparkSession, folder: str) -> DataFrame:
+    s = versions.Snapshot(20, frozenset({7, 21}), 25)
+    return versions.update(_versioned(spark, folder), {}, F.expr("_row_id % 3 = 0"), s)
+
+
+@_query(f"SELECT _row_id, _xmin, CASE WHEN {_SEEN} AND _row_id % 3 = 0 THEN 20 ELSE _xmax END AS _xmax FROM {_V}")
+def mvcc_delete(spark: SparkSession, folder: str) -> DataFrame:
+    s = versions.Snapshot(20, frozenset({7, 21}), 25)
+    return versions.delete(_versioned(spark, folder), F.expr("_row_id % 3 = 0"), s)
+
+
 _LOG = (
     "SELECT event_id * 2 AS lsn, user_id AS xid, CASE event_id % 4 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'INSERT' ELSE 'UPDATE' END AS type, "
     "event_type AS table_name, event_id % 700 AS row_id, CAST(event_id AS {0}) AS new_json FROM events "
@@ -320,6 +342,22 @@ def wal_losers(spark: SparkSession, folder: str) -> DataFrame:
     return changelog.losers(_log(spark, folder)).select("lsn", "xid", "type")
 
 
+@_query(
+    "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'big' ELSE p_name END AS p_name, CAST(p_size AS BIGINT) AS p_size FROM part WHERE p_size > 10 "
+    "UNION ALL SELECT -1, 'new', NULL"
+)
+def wal_recover(spark: SparkSession, folder: str) -> DataFrame:
+    """The table that recovery finds from the log that the engine wrote, across a checkpoint and a rolled-back transaction."""
+    log = changelog.ChangeLog(spark, f"{_shared(spark)}/log-{uuid.uuid4().hex}")
+    c = _database(spark, folder, "part", _PART, log)
+    c.execute("UPDATE t SET p_name = 'big' WHERE p_size > 40")
+    log.checkpoint()
+    for s in ("BEGIN", "DELETE FROM t WHERE p_size <= 10", "INSERT INTO t (p_partkey, p_name) VALUES (-1, 'new')", "COMMIT", "BEGIN", "DELETE FROM t", "ROLLBACK"):
+        c.execute(s)
+    rows = log.recover().rows.filter("table_name = 't'")
+    return rows.select(F.from_json("new_json", "p_partkey long, p_name string, p_size long").alias("r")).select("r.*")
+
+
 _WAITS = "SELECT DISTINCT user_id % 40 AS x, event_id % 41 AS y FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL"
 
 

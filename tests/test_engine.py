@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.engine import ConstraintError, Database
 from tessera.functions import semantics
-from tessera.operators import changelog, locks, stats
+from tessera.operators import changelog, costs, locks, stats, versions
+from tessera.operators.transactions import Transactions
 from tessera.plans.dialect import SqlError, rewrite, statements
 
 
@@ -187,7 +188,7 @@ def test_a_failed_statement_leaves_no_files(c, db):
 def test_clear_lookup_and_statistics(c):
     assert [r.name for r in c.lookup("users", [0, 99]).collect()] == ["Alice"]
     c.execute("ANALYZE users")
-    assert "statistics of users: 3 rows" in c.execute("EXPLAIN SELECT * FROM users").message
+    assert "statistics of users: 3 rows, 1 pages, cost of a scan 1.03" in c.execute("EXPLAIN SELECT * FROM users").message
     c.clear("users")
     assert got(c, "SELECT COUNT(*) FROM users") == [(0,)] and "older" in c.execute("EXPLAIN SELECT * FROM users").message
     c.drop_statistics("users")
@@ -257,3 +258,111 @@ def test_following_a_log(spark, tmp_path):
         query = follow(spark, f"{tmp_path}/log", f"{tmp_path}/checkpoint", lambda df, n: seen.extend(r.lsn for r in df.collect()))
         query.awaitTermination()
     assert seen == [0, 1]
+
+
+def test_inserts_add_folders_until_they_are_too_many(db, c, monkeypatch):
+    import tessera.engine as engine
+
+    first = c.table("users").paths
+    c.execute("INSERT INTO users (id, name) VALUES (4, 'd')")
+    assert c.table("users").paths[:1] == first and len(c.table("users").paths) == 2
+    monkeypatch.setattr(engine, "FOLDERS", 2)
+    c.execute("INSERT INTO users (id, name) VALUES (5, 'e')")
+    assert len(c.table("users").paths) == 1
+    assert [r[0] for r in c.rows("users").orderBy("_row_id").select("_row_id").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_the_log_recovers_the_table_across_checkpoints(spark, tmp_path):
+    log = changelog.ChangeLog(spark, f"{tmp_path}/log")
+    c = Database(spark, f"{tmp_path}/db", log).connect()
+    rows = lambda: sorted((r.row_id, r.new_json) for r in log.recover().rows.collect())
+    assert rows() == []
+    c.execute("CREATE TABLE t (k INT PRIMARY KEY, v TEXT)")
+    c.execute("INSERT INTO t VALUES (1, 'a'), (2, NULL)")
+    c.execute("UPDATE t SET v = 'b' WHERE k = 1")
+    for end in ("ROLLBACK", "COMMIT"):
+        c.execute("BEGIN")
+        c.execute("INSERT INTO t VALUES (3, 'c')")
+        c.execute("DELETE FROM t WHERE k = 2")
+        c.execute(end)
+    with pytest.raises(ConstraintError):
+        c.execute("INSERT INTO t VALUES (3, 'again')")
+    want = [(0, '{"k":1,"v":"b"}'), (2, '{"k":3,"v":"c"}')]
+    assert rows() == want
+    lsns = [r.lsn for r in log.read().orderBy("lsn").collect()]
+    assert lsns == list(range(len(lsns)))
+    log.write(99, spark.createDataFrame([("DELETE", "t", 0, "x", None)], "type string, table_name string, row_id long, old_json string, new_json string"))
+    assert rows() == want and [r.xid for r in log.uncommitted().collect()] == [99]
+    assert [(r.row_id, r.old_json) for r in log.recover().undone.collect()] == [(0, "x")]
+    n = log.read().count()
+    log.checkpoint()
+    assert rows() == want and 0 < log.read().count() < n and log.uncommitted().count() == 1
+    log.mark(99, "COMMIT")
+    assert rows() == want[1:]
+    again = changelog.ChangeLog(spark, f"{tmp_path}/log")
+    assert again.next_lsn == log.next_lsn
+    log.checkpoint()
+    assert rows() == want[1:] and log.read().count() == 1
+    assert changelog.ChangeLog(spark, f"{tmp_path}/log").next_lsn == log.next_lsn
+
+
+def test_damaged_records_and_torn_segments_are_left_out(spark, tmp_path):
+    log = changelog.ChangeLog(spark, f"{tmp_path}/log")
+    row = lambda k: spark.createDataFrame([("INSERT", "t", k, None, "{}")], "type string, table_name string, row_id long, old_json string, new_json string")
+    log.commit(1, [row(1)])
+    log.commit(2, [row(2)])
+    bad = spark.read.parquet(log._path("segment", 2)).withColumn("row_id", F.lit(7).cast("long"))
+    bad.write.parquet(f"{tmp_path}/bad")
+    spark.read.parquet(f"{tmp_path}/bad").write.mode("overwrite").parquet(log._path("segment", 2))
+    found = log.recover()
+    assert [r.row_id for r in found.rows.collect()] == [1] and found.n_damaged == 1 and found.last_lsn == 3
+    pathlib.Path(log._path("segment", 0), "_SUCCESS").unlink()
+    assert log.recover().rows.count() == 0
+
+
+def test_transactions_are_forgotten_and_seen():
+    t = Transactions(kept=2)
+    a, b = t.begin(), t.begin()
+    assert t.snapshot(b) == versions.Snapshot(2, frozenset({1}), 3) and t.oldest() == 1
+    t.end(a, "COMMITTED")
+    with pytest.raises(ValueError):
+        t.end(a, "ABORTED")
+    for _ in range(2):
+        t.end(t.begin(), "ABORTED")
+    assert (t.state(a), t.state(b), t.state(4)) == (None, "ACTIVE", "ABORTED")
+    assert t.cleanup(0) == 2 and t.state(4) is None and t.oldest() == 2
+
+
+def test_versions_are_inserted_updated_and_deleted(spark):
+    df = versions.insert(spark.createDataFrame([(1, "a"), (2, None)], "_row_id long, v string"), 5)
+    s = versions.Snapshot(6, frozenset(), 6)
+    df = versions.update(df, {"v": F.lit("b")}, F.col("v") == "a", s)
+    assert sorted(map(tuple, df.collect()), key=str) == [(1, "a", 5, 6), (1, "b", 6, None), (2, None, 5, None)]
+    df = versions.delete(df, None, versions.Snapshot(7, frozenset({6}), 8))
+    assert sorted((r._row_id, r._xmin, r._xmax) for r in df.collect() if r._xmax) == [(1, 5, 7), (2, 5, 7)]
+
+
+def test_costs():
+    assert costs.scan(1000, 10).total == 20 and costs.scan(1000, 10, 0.5).rows == 500
+    few, many = costs.index_scan(1000, 0.01), costs.index_scan(1000, 0.2)
+    assert (round(few.total, 6), few.startup) == (52.075, 12) and round(many.total, 6) == 413.5
+    assert costs.index_scan(1000, 1.0) == costs.scan(1000, 10)
+    assert round(costs.nested_loop(10, 20, 5).total, 6) == 50.6
+    assert round(costs.hash_join(100, 200, 8).total, 6) == 3.75
+    assert round(costs.hash_join(1, 10**7, 100).startup, 6) == 187500
+    assert costs.merge_join(10, 10, True, True).startup == 0 and round(costs.merge_join(8, 1, False, True).startup, 6) == 0.3
+    assert costs.aggregate(100, 5, 2).total == 1.5 and costs.sort(1, 8).total == 0 and round(costs.sort(4, 8).total, 6) == 0.06
+    assert [costs.scan_choice(x, True) for x in (0.05, 0.2, 0.5)] == ["INDEX", "BITMAP", "SCAN"] and costs.scan_choice(0.01, False) == "SCAN"
+    assert [costs.join_choice(50, 50), costs.join_choice(500, 500, True, True), costs.join_choice(10**5, 10**5), costs.join_choice(200, 4)] == [
+        "NESTED_LOOP", "MERGE", "HASH", "NESTED_LOOP"
+    ]
+
+
+def test_histograms_and_columns(spark):
+    df = spark.range(20000).selectExpr("IF(id < 5000, 0, id % 7000) AS v", "CAST(NULL AS DOUBLE) AS w", "IF(id % 2 = 0, 0.0D, -0.0D) AS z")
+    rows = stats.histogram(df, "v", 10).orderBy("bucket").collect()
+    assert sum(r.n_rows for r in rows) == 20000 and rows[0].low == 0 and all(a.high < b.low for a, b in zip(rows, rows[1:]))
+    assert sum(r.n_distinct for r in rows) == 7000 and max(r.n_rows for r in rows[1:]) <= 2010
+    assert stats.histogram(df, "w", 10).count() == 0
+    assert {r.column: (r.n_distinct, r.n_null) for r in stats.columns(df).collect()} == {"v": (7000, 0), "w": (0, 20000), "z": (1, 0)}
+    assert stats.selectivity("<", 5, 0, 10, 9, buckets=[(0, 4, 90), (5, 10, 10)]) == 0.9
