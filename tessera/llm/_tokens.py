@@ -21,6 +21,8 @@ from tessera.llm._words import ragged, raw, strings
 CACHE_UNITS, CACHE_LENGTH = 100_000, 64
 #: Units that the library encodes at once, and joined in a string.
 ENCODED, JOINED = 4096, 256
+#: Units whose ids are put together at once.
+PART = 1 << 16
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -89,6 +91,7 @@ class Encoder:
         sizes = np.array([0 if x is None else len(x) // 4 for x in found], dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
         ids = np.frombuffer(b"".join(filter(None, found)), dtype=np.uint32)
+        del found
         if new:
             new = np.array(new)
             more, n = self._new(column, units, new)
@@ -148,10 +151,18 @@ class Encoder:
         at = cuts(data, ends)
         encoded = strings(data, np.append(at, len(data))).dictionary_encode()
         codes = np.asarray(encoded.indices)
+        at = np.searchsorted(at, ends)
         flat, first, sizes = self._units(encoded.dictionary, np.bincount(codes))
-        n = sizes[codes]
-        out = flat[ragged(first[codes], n)]
-        starts = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(at, ends)]
+        del encoded
+        starts = np.concatenate([[0], np.cumsum(sizes[codes])])[at]
+        # A part of the units at a time: an index for each id is twice as large as the ids.
+        out = np.empty(int(starts[-1]) if len(starts) else 0, np.uint32)
+        done = 0
+        for k in range(0, len(codes), PART):
+            c = codes[k : k + PART]
+            ids = flat[ragged(first[c], sizes[c])]
+            out[done : done + len(ids)] = ids
+            done += len(ids)
         odd = self._with_special(col, data)
         return self._replace(col, odd, out, starts) if len(odd) else (out, starts)
 

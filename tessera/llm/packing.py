@@ -28,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import map_arrow
+from tessera.llm._shared import map_arrow, tidy
 
 WINDOW = 1024
 #: Partially filled windows that a partition holds at most.
 MOST_OPEN = 8192
+#: Text bytes that are encoded at once; windows don't depend on it.
+SLICE_BYTES = 2 << 20
 #: Windows that one partition may number.
 PER_PARTITION = 1 << 36
 
@@ -176,13 +178,15 @@ def pack(
 
         packer = Packer(window, TaskContext.get().partitionId() * PER_PARTITION)
         for batch in batches:
-            for part in slices(batch, 4 << 20):
+            for part in slices(batch, SLICE_BYTES):
                 ids, starts = with_end(*encoder(vocabulary).encode(text_column(part)), end_id)
                 for k, doc_id in enumerate(part.column(0).to_pylist()):
                     packer.add((doc_id, int(starts[k + 1] - starts[k])), ids[starts[k] : starts[k + 1]])
+                del ids, starts
                 if packer.rows:
                     yield batch_of(packer.rows)
                     packer.rows = []
+                tidy()
         packer.finish()
         if packer.rows:
             yield batch_of(packer.rows)
