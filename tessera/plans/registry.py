@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import changelog, locks, stats, versions
+from tessera.operators import changelog, joins, locks, stats, versions
 from tessera.plans.dialect import rewrite
 from tessera.sources.tables import NAMES, read, views
 
@@ -129,9 +129,18 @@ _sql(
     "SELECT a.n_nationkey, b.r_name FROM (SELECT n_nationkey, NULLIF(n_regionkey, 1) AS k FROM nation) AS a "
     "FULL JOIN (SELECT r_name, NULLIF(r_regionkey, 2) AS k FROM region) AS b ON a.k = b.k",
 )
-for _name, _hint in (("broadcast", "BROADCAST(o)"), ("merge", "MERGE(o)"), ("shuffle_hash", "SHUFFLE_HASH(o)"), ("nl", "SHUFFLE_REPLICATE_NL(o)")):
-    _text = "SELECT {} c.c_custkey, o.o_orderkey FROM customer AS c JOIN orders AS o ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > 300000"
-    _sql(f"join_{_name}", _text.format(f"/*+ {_hint} */"), _text.format(""))
+_HINTED = "SELECT {} c.c_custkey, o.o_orderkey FROM customer AS c JOIN orders AS o ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > 300000"
+for _name, _hint in (("broadcast", "BROADCAST(o)"), ("merge", "MERGE(o)"), ("shuffle_hash", "SHUFFLE_HASH(o)")):
+    _sql(f"join_{_name}", _HINTED.format(f"/*+ {_hint} */"), _HINTED.format(""))
+
+
+@_query(_HINTED.format(""))
+def join_nl(spark: SparkSession, folder: str) -> DataFrame:
+    """By blocks, as the hint SHUFFLE_REPLICATE_NL compares each customer with each order."""
+    orders = read(spark, folder, "orders").filter("o_totalprice > 300000").select("o_custkey", "o_orderkey")
+    pairs = joins.nested_loop(orders, read(spark, folder, "customer").select("c_custkey"), {"o_custkey": "c_custkey"})
+    return pairs.select("c_custkey", "o_orderkey")
+
 
 # Aggregates
 _sql("agg_count_star", "SELECT COUNT(*) AS n FROM lineitem")
